@@ -77,6 +77,63 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base metrics of every document and the verdict of the risk-controlled rules."""
+    from . import quality
+    from .scratch import materialize
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    metrics = materialize(quality.measured(docs).drop("text"), "quality-metrics")
+    cutoffs = materialize(quality.select_cutoffs(metrics, table(spark, sf_dir, "labels")), "quality-cutoffs")
+    return quality.judged(metrics, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op7_sql() -> str:
+    """The same in DuckDB: its lgamma() in place of Stirling's series."""
+    from .quality import ALPHA, DELTA, GRID, RULES
+
+    p = ALPHA / len(RULES)
+    grid = ", ".join(f"({c}::DOUBLE)" for c in GRID)
+    ratios = {r: e.replace(" / ", "::DOUBLE / ") for r, e in RULES.items()}
+    union = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {e} AS v FROM base WHERE NOT base_failed" for r, e in ratios.items())
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+runs AS (SELECT r, k, array_to_string(w[k:k + 7], ' ') AS run FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS k FROM docs)),
+again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, run) AS n FROM runs) WHERE n > 1),
+inside AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 8)) AS p FROM again) GROUP BY r),
+base AS (
+  SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_shouts,
+         len(l)::BIGINT AS n_full_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+  FROM docs LEFT JOIN inside USING (r)),
+ratios AS ({union}),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+counted AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (WHERE v > c) AS k FROM ratios SEMI JOIN good USING (doc_id), (VALUES {grid}) g(c) GROUP BY ALL),
+terms AS (SELECT *, unnest(range(0, k + 1)) AS i FROM counted WHERE k < n * {p}),
+tails AS (
+  SELECT stratum, rule, c, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) AS tail FROM terms GROUP BY ALL),
+safe AS (SELECT stratum, rule, min(c) AS c FROM tails WHERE tail <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM counted) * {len(RULES) * len(GRID)}) GROUP BY ALL),
+rejected AS (SELECT DISTINCT doc_id FROM ratios JOIN safe USING (stratum, rule) WHERE v > c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM base
+"""
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under a shingle similarity of at least 0.75."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, formatted and read back."""
     from .chat import format_conversations, read_back
@@ -104,10 +161,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rans_token_files": op3_rans_token_files,
     "op5_line_dedup": op5_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
+    "op7_quality_rules": _op7_sql(),
     "op10_chat_formatting": OP10_SQL,
 }
