@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, page_queries, search_queries
+
+QUERIES = search_queries.QUERIES | page_queries.QUERIES | graph_queries.QUERIES
+ORACLES = search_queries.ORACLES | page_queries.ORACLES | graph_queries.ORACLES
