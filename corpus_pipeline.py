@@ -1,4 +1,78 @@
+"""The corpus pipeline: five stages, each on all that its predecessor kept.
+
+A stage is a function of (spark, docs, sf_dir) and gives a DataFrame, which
+run() writes as Parquet in the shared folder and reads again as the docs of
+the next.  All but the last give the columns of documents; n_chars follows
+the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontam, linededup, neardup, packing, quality
+from corpusloom.llm.scratch import materialize
+
+#: Near-dedup by sketches and best-fit packing are not expressible in SQL.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    metrics = materialize(quality.measured(docs), "quality-metrics")
+    cutoffs = materialize(quality.select_cutoffs(metrics, labels), "quality-cutoffs")
+    return quality.judged(metrics, cutoffs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them have; documents left without text go."""
+    cut = linededup.LineIndex.of(docs, min_docs=10).apply(docs)
+    kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_length(kept.select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least doc_id."""
+    found = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = materialize(found, "near-copies")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    # Rows that share a doc_id are one document; rows without one are documents of their own.
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that hold a window of a benchmark item."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _with_length(decontam.cut_spans(found).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 2048 ids."""
+    return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
