@@ -148,12 +148,13 @@ class LineIndex:
         keys go to every task and nothing is shuffled.  Beyond that, lines
         meet the exact keys in a join, and the texts of the documents that
         lose lines are dealt by row number.
-        A null text is one empty line and stays null unless cut; an empty
-        table gives an empty result.  Columns named n_lines, n_dropped,
-        kept_text of the input are replaced.
+        A null text is one empty line and stays null; an empty table gives an
+        empty result; a repeated row counts as a document of its own.  Input
+        columns n_lines and n_dropped are replaced; _h, _touched and _blocked
+        are names of this method and left out.
         """
         small_batches(self.spark)
-        docs = docs.drop("n_lines", "n_dropped")
+        docs = docs.drop("n_lines", "n_dropped", "_h", "_touched", "_blocked")
         return self._apply_here(docs) if self.n_blocked <= broadcast_keys else self._apply_joined(docs)
 
     def _apply_here(self, docs: DataFrame) -> DataFrame:

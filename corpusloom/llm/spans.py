@@ -22,14 +22,14 @@ from .scratch import bloom, bloom_hits, drop, materialize, small_batches
 MIN_SENTENCES = 2
 MIN_WORDS = 24
 # A sentence ends after . ! or ? before white space, and at a line feed.
-_SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+(?=[\x20\x09-\x0D])|\n|\Z)\n?", re.S)
+_END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
 _NULL_ID = -(1 << 63)
 
 
 def sentences(text: bytes) -> list[tuple[int, int]]:
     """Start and end (bytes) of all sentences that have a word; together with blanks between them they are the text."""
     out, at = [], 0
-    for m in re.finditer(rb"[.!?]+(?=[\x20\x09-\x0D])|\n", text):
+    for m in _END.finditer(text):
         out.append((at, m.end()))
         at = m.end()
     if at < len(text):
@@ -94,9 +94,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Sentences inside a non-first place of a repeated run go, with the white
     space up to the next sentence.  Null and empty texts have no sentences and
     stay as they are; rows that share a doc_id count as one document; a null
-    doc_id sorts first.  Input columns n_sentences, n_removed are replaced.
+    doc_id sorts first.  Input columns n_sentences, n_removed are replaced;
+    _id, _spans and _touched are names of this function and left out.
     """
-    docs = docs.drop("n_sentences", "n_removed", "_id", "_spans")
+    docs = docs.drop("n_sentences", "n_removed", "_id", "_spans", "_touched")
     hits = repeated_spans(docs)
     ids = hits.select("_id").distinct()
     held = docs.sparkSession.sparkContext.broadcast(bloom(ids, "_id", ids.count()))
