@@ -31,13 +31,13 @@ def concept_upsert_merge(spark, d):
         F.col("source").alias("source_id"),
         F.lower(F.col("lang")).alias("key"),
         F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("name"),
-        F.substring("text", 1, (F.col("doc_id") % 37 + 1).cast("int")).alias("description"),
+        F.col("text").alias("description"),
         F.concat(F.lit("c"), F.col("doc_id") % 3).alias("category"),
         (F.col("doc_id") % 10 / 10).alias("confidence"),
         F.lit(1).cast("long").alias("mention_count"),
         F.col("doc_id").alias("seq"),
     )
-    return K.merge(rows, ["source_id", "key"], K.CONCEPT_POLICY)
+    return K.merge(rows, ["source_id", "key"], K.CONCEPT_POLICY).withColumn("description", F.md5("description"))
 
 
 def concepts_topk(spark, d):
@@ -84,7 +84,7 @@ def concept_relations_merged(spark, d):
 
 
 def concept_graph_2hop(spark, d):
-    start = read(spark, d, "documents").where("doc_id < 3").select("doc_id")
+    start = read(spark, d, "documents").where("source = 'src7'").select("doc_id")
     return G.neighbourhood(start, _relations(spark, d), 2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
@@ -143,14 +143,14 @@ def delete_source_cascade(spark, d):
 
 
 def delete_page_chunks(spark, d):
-    docs = read(spark, d, "documents").select("doc_id")
-    keys = docs.where("doc_id % 3 = 0")
-    return K.delete_cascade(keys, {"chunks": (docs, "doc_id")})[0]["chunks"]
+    docs = read(spark, d, "documents").select("doc_id", "lang")
+    keys = docs.where("lang = 'de'").select("doc_id")
+    return K.delete_cascade(keys, {"chunks": (docs, "doc_id")})[0]["chunks"].select("doc_id")
 
 
 def upsert_page_policy(spark, d):
     docs = read(spark, d, "documents")
-    rows = docs.select(F.concat(F.lit("u"), F.col("doc_id") % 100).alias("url"), F.col("lang").alias("language"), F.substring("text", 1, 20).alias("title"), (F.col("doc_id") % 4).cast("int").alias("depth"), F.col("doc_id").alias("seq"))
+    rows = docs.select(F.concat(F.lit("u"), F.col("doc_id") % 100).alias("url"), F.col("lang").alias("language"), F.md5("text").alias("title"), (F.col("doc_id") % 4).cast("int").alias("depth"), F.col("doc_id").alias("seq"))
     return K.merge(rows, ["url"], {"title": K.REPLACE, "language": K.KEEP, "depth": K.KEEP})
 
 
@@ -322,7 +322,7 @@ bfs AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT to_id, depth + 1 FROM bf
 
 ORACLES = {
     "concept_extract": f"WITH {_CONC} SELECT id, source_id, name, '' AS description, 'concept' AS category, round(least(1.0, mention_count / 10)::DOUBLE, 6) AS confidence, mention_count FROM conc",
-    "concept_upsert_merge": "SELECT source AS source_id, lower(lang) AS key, arg_min(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, doc_id) AS name, arg_max(left(text, (doc_id % 37 + 1)::INT), length(left(text, (doc_id % 37 + 1)::INT)) * 10000000 - doc_id) AS description, arg_min('c' || doc_id % 3, doc_id) AS category, max((doc_id % 10)::DOUBLE / 10) AS confidence, count(*) AS mention_count FROM documents GROUP BY 1, 2",
+    "concept_upsert_merge": "SELECT source AS source_id, lower(lang) AS key, arg_min(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, doc_id) AS name, md5(arg_max(text, length(text) * 10000000 - doc_id)) AS description, arg_min('c' || doc_id % 3, doc_id) AS category, max((doc_id % 10)::DOUBLE / 10) AS confidence, count(*) AS mention_count FROM documents GROUP BY 1, 2",
     "concepts_topk": f"WITH {_CONC} SELECT id, name, mention_count FROM conc WHERE source_id = 'src1' ORDER BY mention_count DESC, id LIMIT 10",
     "concepts_by_category": f"WITH {_CONC}, top AS (SELECT * FROM conc ORDER BY mention_count DESC, id LIMIT 200) SELECT 'len' || length(name) AS category, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM top GROUP BY 1",
     "mentions_contains": f"WITH {_CONC}, {_MENT} SELECT doc_id, concept_id, 0.7::DOUBLE AS confidence FROM ment",
@@ -330,7 +330,7 @@ ORACLES = {
     "mentions_confidence_last": "SELECT 'k' || doc_id % 50 AS chunk_id, 'c' || doc_id % 7 AS concept_id, round(arg_max((doc_id % 11)::DOUBLE / 10, doc_id), 6) AS confidence FROM documents GROUP BY 1, 2",
     "concept_cooccurrence": f"WITH {_CONC}, {_MENT} SELECT x.concept_id AS a, y.concept_id AS b, count(*) AS n, round(least(1.0, count(*) / 10)::DOUBLE, 6) AS weight FROM ment x JOIN ment y ON x.doc_id = y.doc_id AND x.concept_id < y.concept_id GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, a, b LIMIT 100",
     "concept_relations_merged": f"WITH {_REL} SELECT from_id % 20 AS from_id, to_id % 20 AS to_id, arg_max(type, from_id * 10 + k) AS type, round(arg_max(weight, from_id * 10 + k), 6) AS weight FROM rel GROUP BY 1, 2",
-    "concept_graph_2hop": f"WITH {_REL}, both_ AS (SELECT from_id AS x, to_id AS y FROM rel UNION SELECT to_id, from_id FROM rel), h0 AS (SELECT doc_id AS id, 0 AS depth FROM documents WHERE doc_id < 3), h1 AS (SELECT y AS id, 1 AS depth FROM h0 JOIN both_ ON x = id), h2 AS (SELECT y AS id, 2 AS depth FROM h1 JOIN both_ ON x = id) SELECT id, min(depth)::BIGINT AS depth FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY id",
+    "concept_graph_2hop": f"WITH {_REL}, both_ AS (SELECT from_id AS x, to_id AS y FROM rel UNION SELECT to_id, from_id FROM rel), h0 AS (SELECT doc_id AS id, 0 AS depth FROM documents WHERE source = 'src7'), h1 AS (SELECT y AS id, 1 AS depth FROM h0 JOIN both_ ON x = id), h2 AS (SELECT y AS id, 2 AS depth FROM h1 JOIN both_ ON x = id) SELECT id, min(depth)::BIGINT AS depth FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY id",
     "concept_graph_full": f"WITH {_REL}, own AS (SELECT doc_id FROM documents WHERE source = 'src1') SELECT DISTINCT from_id, to_id, type FROM rel WHERE from_id IN (FROM own) OR to_id IN (FROM own)",
     "page_link_graph": f"WITH {_PLINK} SELECT * FROM edges",
     "page_indegree": f"WITH {_PLINK} SELECT to_url, count(*) AS indegree FROM edges GROUP BY 1",
@@ -340,8 +340,8 @@ ORACLES = {
     "doc_sources": f"WITH {_CONC} SELECT source AS name, 'source_' || substr(sha256(source), 1, 12) AS id, count(*) AS pages, count(*) AS chunks, any_value(coalesce(c.n, 0)) AS concepts FROM documents LEFT JOIN (SELECT source_id, count(*) AS n FROM conc GROUP BY 1) c ON source_id = source GROUP BY source",
     "source_status_update": "SELECT source AS id, CASE WHEN source = 'src1' THEN 'completed' ELSE 'pending' END AS status, CASE WHEN source = 'src1' THEN 99 ELSE count(*) END AS total_pages, source = 'src1' AS crawled FROM documents GROUP BY source",
     "delete_source_cascade": f"WITH {_CONC} SELECT count(*) AS pages, count(*) AS chunks, (SELECT count(*) FROM conc WHERE source_id IN ('src1', 'src2')) AS concepts FROM documents WHERE source IN ('src1', 'src2')",
-    "delete_page_chunks": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
-    "upsert_page_policy": "SELECT 'u' || doc_id % 100 AS url, arg_max(left(text, 20), doc_id) AS title, arg_min(lang, doc_id) AS language, arg_min((doc_id % 4)::INT, doc_id) AS depth FROM documents GROUP BY 1",
+    "delete_page_chunks": "SELECT doc_id FROM documents WHERE lang <> 'de'",
+    "upsert_page_policy": "SELECT 'u' || doc_id % 100 AS url, arg_max(md5(text), doc_id) AS title, arg_min(lang, doc_id) AS language, arg_min((doc_id % 4)::INT, doc_id) AS depth FROM documents GROUP BY 1",
     "upsert_source_policy": "SELECT source AS root_url, CASE WHEN max(doc_id) >= 40 THEN 'n' || max(doc_id) ELSE 'old' END AS name, CASE WHEN min(doc_id) < 40 THEN 'old' ELSE 's' || min(doc_id) END AS status FROM documents GROUP BY source",
     "node_lookup": "SELECT doc_id, source, lang FROM documents WHERE doc_id = 7",
     "list_pages_paged": "SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 20 OFFSET 40",

@@ -84,9 +84,9 @@ _META = (
 
 
 def _tags(spark, d) -> DataFrame:
-    """The metatags of a small page for every tenth page; the pages' own have none with a name."""
+    """The metatags of a small page for every page; the pages' own have none with a name."""
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(_META)], "pos int, key string, value string")
-    return read(spark, d, "pages").where("page_id % 10 = 0").select("page_id").crossJoin(F.broadcast(rows))  # 13 rows
+    return read(spark, d, "pages").select("page_id").crossJoin(F.broadcast(rows))  # 13 rows
 
 
 def metatag_process(spark, d):
@@ -103,7 +103,7 @@ def page_metatag_map(spark, d):
 
 
 def _structured(spark, d):
-    return H.structured_data(_parsed(spark, d).where("page_id % 10 = 0"), _tags(spark, d))
+    return H.structured_data(_parsed(spark, d), _tags(spark, d))
 
 
 def structured_data(spark, d):
@@ -192,7 +192,7 @@ _SKIPS = "|".join(w.replace(".", "\\.") for w in U.SKIP_SUBSTRINGS)
 _VALUES = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_META))
 _KEEP = ", ".join(f"'{k}'" for k in T.IMPORTANT_METATAGS)
 _TAGS = f"""
-tags AS (SELECT page_id, pos, key, value FROM pages, (VALUES {_VALUES}) v(pos, key, value) WHERE page_id % 10 = 0),
+tags AS (SELECT page_id, pos, key, value FROM pages, (VALUES {_VALUES}) v(pos, key, value)),
 low AS (SELECT page_id, pos, lower(trim(key)) AS key, trim(value) AS value FROM tags WHERE trim(value) <> ''),
 done AS (SELECT page_id, key, arg_min(value, pos) AS value, CASE WHEN key LIKE 'og:%' OR key LIKE 'article:%' THEN 'opengraph' WHEN key LIKE 'twitter:%' THEN 'twitter' WHEN key LIKE 'schema:%' OR key LIKE 'itemprop%' THEN 'schema' ELSE 'standard' END AS category
          FROM low WHERE key IN ({_KEEP}) OR key LIKE 'og:%' OR key LIKE 'twitter:%' GROUP BY page_id, key)"""
@@ -227,8 +227,8 @@ ORACLES = {
     "metatag_process": f"WITH {_TAGS} SELECT * FROM done",
     "metatag_categorize": f"WITH {_TAGS} SELECT category, count(*) AS n FROM done GROUP BY 1",
     "page_metatag_map": f"WITH {_TAGS} SELECT page_id, '{{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}}' AS metatags FROM done GROUP BY page_id",
-    "structured_data": "SELECT page_id, regexp_extract(html, '<html lang=\"(..)', 1) AS language, 'article' AS type, 'Site' AS site_name, 'A. Writer' AS author, '2.0' AS version, 'a|b|c' AS keywords FROM pages WHERE page_id % 10 = 0",
-    "metatag_summary": "SELECT page_id, 'Title: T' || chr(10) || 'Keywords: a,b,c' || chr(10) || 'Type: article' AS summary FROM pages WHERE page_id % 10 = 0",
+    "structured_data": "SELECT page_id, regexp_extract(html, '<html lang=\"(..)', 1) AS language, 'article' AS type, 'Site' AS site_name, 'A. Writer' AS author, '2.0' AS version, 'a|b|c' AS keywords FROM pages",
+    "metatag_summary": "SELECT page_id, 'Title: T' || chr(10) || 'Keywords: a,b,c' || chr(10) || 'Type: article' AS summary FROM pages",
     "chunk_sentence_pack": f"{_RECURSIVE} {_PACK} SELECT doc_id, chunk_index, md5(content) AS digest FROM packed",
     "chunk_split_points": r"""
 WITH RECURSIVE marks AS (

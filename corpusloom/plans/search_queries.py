@@ -108,7 +108,7 @@ def embed_documents(spark, d):
 
 def zero_embedding_filter(spark, d):
     e = read(spark, d, "embeddings")
-    marked = e.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+    marked = e.withColumn("embedding", F.when(F.col("label") == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
     return marked.where(S.is_zero_vector(F.col("embedding"))).select("vec_id")
 
 
@@ -122,8 +122,9 @@ def content_hashes(spark, d):
 
 
 def change_detection(spark, d):
-    now = read(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("digest"))
-    old = now.where("doc_id % 5 <> 0").withColumn("digest", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("digest")))
+    """The state before: no French documents yet, and those of one source as they were."""
+    now = read(spark, d, "documents").select("doc_id", "lang", "source", content_hash(F.col("text")).alias("digest"))
+    old = now.where("lang <> 'fr'").withColumn("digest", F.when(F.col("source") == "src3", "old").otherwise(F.col("digest")))
     return changed(old, now, "doc_id", "digest").select("doc_id")
 
 
@@ -264,10 +265,10 @@ ORACLES = {
     "corpus_stats": r"SELECT count(*) AS n_docs, round(avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))), 6) AS avg_length FROM documents",
     "search_result_format": f"WITH {_TEXT}, top AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 497) || '...' END AS content, round(score, 3) AS score FROM top JOIN documents USING (doc_id)",
     "search_modes": f"WITH {_VECTOR}, {_TEXT}, {_RRF.format(two=10, one=5)} SELECT 'vector' AS mode, doc_id, round(score, 6) AS score FROM (SELECT * FROM vec ORDER BY score DESC, doc_id LIMIT 5) UNION ALL SELECT 'fulltext', doc_id, round(score, 6) FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 5) UNION ALL SELECT 'hybrid', doc_id, round(score, 6) FROM rrf",
-    "zero_embedding_filter": "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0",
+    "zero_embedding_filter": "SELECT vec_id FROM embeddings WHERE label = 0",
     "gen_id": "SELECT doc_id, 'chunk_' || substr(sha256(source || '|' || doc_id), 1, 12) AS id FROM documents",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
-    "change_detection": "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0",
+    "change_detection": "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'",
     "normalize_url": f"SELECT page_id, {_NORM.format('url')} AS url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/guide/p' || page_id || '?a=1' AS resolved FROM pages",
     "resolve_relative_url": "SELECT page_id, 'https://a.com/docs/y?q=1' AS up, 'https://a.com/docs/x' || page_id || '/w' AS down, 'https://a.com/docs/x' || page_id || '?q=2' AS query FROM pages",
     "extract_domain": f"SELECT page_id, {_HOST.format('url')} AS domain FROM pages",
