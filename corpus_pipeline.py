@@ -59,11 +59,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _guarded(stage):
+    """The stage with columns it doesn't know under names that can't clash with its own."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = [c if c in ("doc_id", "text", "lang", "source", "n_chars") else f"extra_{k}" for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*names)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("MinHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontaminate),
+    ("quality rules", _guarded(quality_rules)),
+    ("line dedup", _guarded(line_dedup)),
+    ("MinHash near-dedup", _guarded(near_dedup)),
+    ("benchmark decontamination", _guarded(decontaminate)),
     ("best-fit packing", pack),
 ]
 
