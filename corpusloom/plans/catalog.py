@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, page_queries, search_queries
+from . import api, graph_queries, page_queries, search_queries
 
-QUERIES = search_queries.QUERIES | page_queries.QUERIES | graph_queries.QUERIES
+QUERIES = search_queries.QUERIES | page_queries.QUERIES | graph_queries.QUERIES | api.QUERIES
 ORACLES = search_queries.ORACLES | page_queries.ORACLES | graph_queries.ORACLES
