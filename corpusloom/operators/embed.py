@@ -16,14 +16,20 @@ Provider = Callable[[list[str]], np.ndarray]
 
 
 def hashing_provider(dimensions: int = 64) -> Provider:
-    """Deterministic bag-of-words vectors: each word adds to a hashed dimension with a hashed sign."""
+    """Deterministic bag-of-words vectors: each word adds to a hashed dimension with a hashed sign.
+
+    Half as much goes to one of the first ten, since vectors that have zeros
+    there count as failed.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions), dtype=np.float32)
         for k, t in enumerate(texts):
             for w in t.lower().split():
                 h = xxhash.xxh3_64_intdigest(w.encode())
-                out[k, h % dimensions] += 1 if h >> 63 else -1
+                sign = 1 if h >> 63 else -1
+                out[k, h % dimensions] += sign
+                out[k, (h >> 40) % min(10, dimensions)] += sign / 2
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

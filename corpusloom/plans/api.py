@@ -34,23 +34,24 @@ class Corpus:
     relations: DataFrame  # from_id, to_id, type, weight
 
 
-def ingest(raw: DataFrame, provider: Provider | None = None, sizes: C.ChunkSizes = C.ChunkSizes(), per_source: int = 50, least: int = 2) -> Corpus:
+def ingest(raw: DataFrame, provider: Provider | None = None, sizes: C.ChunkSizes = C.ChunkSizes(), per_source: int = 50, least: int = 1) -> Corpus:
     """A corpus from raw pages (page_id, url, html); the host is the source.
 
-    One parse of each page; everything after it is joins, windows and
-    aggregates, so that the whole is one graph of lazy plans.
+    Each page is parsed once and each chunk embedded once: parsed pages, pages
+    and chunks are written as tables, all others are lazy plans over them.
     """
     parsed = H.parse_pages(raw).withColumn("page_url", U.normalize_url(F.col("url")))
     host = U.domain(F.col("page_url"))
     parsed = parsed.withColumn("source_id", generate_id("source", host)).withColumn("id", generate_id("page", F.col("page_url")))
+    parsed = G.cut_lineage(parsed.drop("all_text", "aggressive_text"))
     sources = parsed.groupBy(F.col("source_id").alias("id"), host.alias("name")).agg(F.count("*").alias("total_pages")).withColumn("root_url", F.concat(F.lit("https://"), F.col("name"))).withColumn("status", F.lit("completed"))
     rows = parsed.select(
         "id", F.col("page_url").alias("url"), "source_id", "title", "description", "content", T.truncate_text(F.col("content"), 500).alias("content_preview"), content_hash(F.col("content")).alias("content_hash"),
         "language", T.word_count(F.col("content")).alias("word_count"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"),
     )
     keep = {c: K.REPLACE for c in ("source_id", "title", "description", "content", "content_preview", "content_hash", "word_count")} | {c: K.KEEP for c in ("url", "language", "depth")}
-    pages = K.merge(rows, ["id"], keep)
-    chunks = embed(_chunks(pages, sizes), "content", provider).where(~S.is_zero_vector(F.col("embedding")))
+    pages = G.cut_lineage(K.merge(rows, ["id"], keep))
+    chunks = G.cut_lineage(embed(_chunks(pages, sizes), "content", provider).where(~S.is_zero_vector(F.col("embedding"))))
     found = H.page_links(parsed.withColumn("url", F.col("page_url")))
     links = G.link_pages(found.select(F.col("page_url").alias("from_url"), F.col("url").alias("to_url"), "anchor_text", F.col("pos").alias("seq")), pages)
     metatags = H.process_metatags(H.page_metatags(parsed.withColumn("page_id", F.col("id"))))
