@@ -10,7 +10,9 @@ so a sketch has two zones:
   first bits of a hash name its bucket; buckets may be empty, on both sides.
 
 Two sets with a similarity of 0.75 have sizes within that ratio, so that they
-share a zone.
+share a zone.  Bands are cut from REGISTERS registers.  Estimates rest on FINE
+registers, each folded to 4 bits (0: empty): for the same bytes that errs half
+as much as whole registers do, and the estimate is corrected for collisions.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ ROWS = 4  # registers in a band: 32 bands
 MANTISSA = 10
 SMALL = 256
 LARGE = int(0.75 * SMALL)
-_BUCKET_BITS = REGISTERS.bit_length() - 1
+FINE = 512
+BANDS = REGISTERS // ROWS
+SKETCH_BYTES = FINE // 2 + 4 * BANDS
 EMPTY = np.uint16(0xFFFF)
 # Odd multipliers of the permutations: a fixed pseudo-random sequence.
-_ODD = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SEEDS = np.random.Generator(np.random.PCG64(77003)).integers(0, 1 << 63, 2 * (REGISTERS // ROWS), dtype=np.uint64)
-# Chance that two different minima have the same register (about uniform minima of like-sized sets).
-COLLISION = 1.5 * 2.0**-MANTISSA
+# Chance that two different minima fold to the same 4 bits.
+COLLISION = 1 / 15
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -57,17 +61,19 @@ def _registers(least: np.ndarray) -> np.ndarray:
 
 
 def sketch_small(s: np.ndarray) -> np.ndarray:
-    least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for k in range(0, len(s), 64):
-        least = np.minimum(least, (s[k : k + 64, None] * _ODD[None, :]).min(axis=0))
+    """FINE registers; bands use the first ones."""
+    least = np.full(FINE, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(0, len(s), 32):
+        np.minimum(least, (s[k : k + 32, None] * _ODD[None, :]).min(axis=0), out=least)
     return _registers(least)
 
 
-def sketch_large(s: np.ndarray) -> np.ndarray:
-    bounds = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
+def sketch_large(s: np.ndarray, buckets: int) -> np.ndarray:
+    bits = np.uint64(buckets.bit_length() - 1)
+    bounds = np.arange(buckets, dtype=np.uint64) << (np.uint64(64) - bits)
     first = np.searchsorted(s, bounds)
     end = np.append(first[1:], len(s))
-    least = s[np.minimum(first, len(s) - 1)] << np.uint64(_BUCKET_BITS)
+    least = s[np.minimum(first, len(s) - 1)] << bits
     return np.where(end > first, _registers(least), EMPTY)
 
 
@@ -83,27 +89,46 @@ def bands(registers: np.ndarray, zone: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None, np.ndarray]:
-    """Registers of zone S and L (None where a set is not in it) and all band keys."""
-    small = sketch_small(s) if 0 < len(s) <= SMALL else None
-    large = sketch_large(s) if len(s) >= LARGE else None
-    keys = [bands(r, z) for z, r in enumerate((small, large)) if r is not None]
-    return (
-        None if small is None else small.tobytes(),
-        None if large is None else large.tobytes(),
-        np.concatenate(keys) if keys else np.zeros(0, np.int64),
-    )
+def _sketch(fine: np.ndarray, keys: np.ndarray) -> bytes:
+    """FINE registers of 4 bits, then 32 bits of each band key."""
+    x = (fine.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(8)
+    folded = np.where(fine == EMPTY, 0, x % 15 + 1).astype(np.uint8)
+    return (folded[0::2] | folded[1::2] << 4).tobytes() + (keys & 0xFFFFFFFF).astype("<u4").tobytes()
+
+
+def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None, np.ndarray, np.ndarray]:
+    """Sketches of zone S and L (None where a set is not in it) and the band keys of each."""
+    none = np.zeros(0, np.int64)
+    small, large, small_keys, large_keys = None, None, none, none
+    if 0 < len(s) <= SMALL:
+        fine = sketch_small(s)
+        small_keys = bands(fine[:REGISTERS], 0)
+        small = _sketch(fine, small_keys)
+    if len(s) >= LARGE:
+        large_keys = bands(sketch_large(s, REGISTERS), 1)
+        large = _sketch(sketch_large(s, FINE), large_keys)
+    return small, large, small_keys, large_keys
+
+
+def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers (rows x FINE) and band fingerprints (rows x BANDS) of sketches."""
+    raw = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, SKETCH_BYTES)
+    packed = raw[:, : FINE // 2]
+    registers = np.empty((len(raw), FINE), dtype=np.uint8)
+    registers[:, 0::2], registers[:, 1::2] = packed & 15, packed >> 4
+    return registers, np.ascontiguousarray(raw[:, FINE // 2 :]).view("<u4")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected similarity of register rows, and how many registers it rests on."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    used = np.maximum(filled.sum(axis=-1), 1)
-    equal = ((a == b) & filled).sum(axis=-1)
+    filled = (a | b) != 0
+    used = np.maximum(np.count_nonzero(filled, axis=-1), 1)
+    equal = np.count_nonzero((a == b) & filled, axis=-1)
     return (equal / used - COLLISION) / (1 - COLLISION), used
 
 
-def plausible(a: np.ndarray, b: np.ndarray, least: float, sigmas: float = 5.5) -> tuple[np.ndarray, np.ndarray]:
+def plausible(a: np.ndarray, b: np.ndarray, least: float, sigmas: float = 4.5) -> tuple[np.ndarray, np.ndarray]:
     """Estimates, and whether a true similarity of `least` can't be ruled out."""
     j, used = estimate(a, b)
-    return j, j >= least - sigmas * np.sqrt(least * (1 - least) / used)
+    p = least + (1 - least) * COLLISION
+    return j, j >= least - sigmas * np.sqrt(p * (1 - p) / used) / (1 - COLLISION)

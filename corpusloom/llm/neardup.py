@@ -5,9 +5,9 @@
 2. Classes that share a band key are candidates.  First each class meets the
    least class of its bucket.  Then, in buckets that still hold more than one
    component, each class meets its nearest classes of other components by
-   estimated similarity: 4, then 64, then all that the estimate can't rule
-   out.  No pair within a component is looked at again, so that large groups
-   of copies cost pairs in proportion to their size.
+   estimated similarity: 4, then 64, then all that the estimate can't rule out.  No
+   pair within a component is looked at again, so that large groups of copies
+   cost pairs in proportion to their size.
 3. Pairs that the estimate lets pass are confirmed on the full sets.
 4. Confirmed links are contracted to components by hooking each component to
    its least neighbour.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hyperminhash import REGISTERS, plausible, shingles, sketches
+from .hyperminhash import plausible, shingles, sketches, unpack
 from .scratch import bloom, bloom_hits, drop, materialize, small_batches
 
 SIMILARITY = 75  # per cent
@@ -59,9 +59,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     rows.append((doc_id, 0, None, None, None, None, [], []))
                     continue
                 x = xxhash.xxh3_128_digest(s.tobytes())
-                small, large, keys = sketches(s)
-                cut = len(keys) // 2 if small is not None and large is not None else len(keys) * (small is not None)
-                rows.append((doc_id, len(s), int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), small, large, keys[:cut], keys[cut:]))
+                rows.append((doc_id, len(s), int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), *sketches(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGS, strict=True)] if rows else [pa.array([], f.type) for f in _SIGS], schema=_SIGS)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGS)
@@ -92,16 +90,12 @@ def _estimated(pairs: DataFrame, registers: DataFrame, least: float) -> DataFram
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (_matrix(batch.column(c)) for c in ("ra", "rb"))
+                a, b = (unpack(batch.column(c).to_pylist())[0] for c in ("ra", "rb"))
                 yield batch.select(["a", "b"]).filter(pa.array(plausible(a, b, least)[1]))
 
     return joined.mapInArrow(keep, "a long, b long").distinct()
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-
-
 def _blocks(members: DataFrame, labels: DataFrame, registers: DataFrame) -> DataFrame:
     """Members of the buckets with more than one component, dealt into blocks.
 
@@ -120,18 +114,18 @@ def _blocks(members: DataFrame, labels: DataFrame, registers: DataFrame) -> Data
     minor = F.concat(with_major, F.filter(with_minor, lambda x: x["p"] != x["q"]))
     major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("p"), F.col("part").alias("q")))
     dealt = rows.withColumn("part", part).withColumn("block", F.explode(F.when(F.col("label") == F.col("major"), major).otherwise(minor)))
-    dealt = dealt.select("zone", F.xxhash64("bucket", "block").alias("block"), "node", "label")
+    dealt = dealt.select("zone", F.xxhash64("bucket", "block").alias("block"), F.col("bucket").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), "node", "label")
     return dealt.join(registers, ["zone", "node"])
 
 
 def _nearest(blocks: DataFrame, least: float, most: int) -> DataFrame:
     """a, b: for each class of a block its `most` nearest ones of other components, by estimate."""
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = blocks.select("block", "node", "label", "registers").repartition(n, "block").sortWithinPartitions("block", "node")
+    ordered = blocks.select("block", "key", "node", "label", "registers").repartition(n, "block").sortWithinPartitions("block", "node")
 
     def compare(batches):
-        for block, node, label, regs in _groups(batches):
-            yield from _pairs(block, node, label, regs, least, most)
+        for group in _groups(batches):
+            yield from _pairs(*group, least, most)
 
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
@@ -159,11 +153,15 @@ def _groups(batches) -> Iterator[tuple]:
 
 def _columns(batches: list[pa.RecordBatch]) -> tuple:
     t = pa.Table.from_batches(batches)
-    return (*(t.column(c).to_numpy() for c in ("block", "node", "label")), _matrix(t.column("registers")))
+    return (*(t.column(c).to_numpy() for c in ("block", "key", "node", "label")), *unpack(t.column("registers").to_pylist()))
 
 
-def _pairs(block, node, label, regs, least: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Compares row i with the rows after it in its block, many rows at a time."""
+def _pairs(block, key, node, label, regs, prints, least: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Compares row i with the rows after it in its block, many rows at a time.
+
+    Of the buckets that two classes share only that of their first common band
+    gives the pair.
+    """
     end = np.searchsorted(block, block, side="right")
     reach = end - np.arange(len(block)) - 1
     at, left, right, near = 0, [], [], []
@@ -175,8 +173,11 @@ def _pairs(block, node, label, regs, least: float, most: int) -> Iterator[pa.Rec
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
         other = label[i] != label[j]
         i, j = i[other], j[other]
-        for k in range(0, len(i), 60_000):
-            x, y = i[k : k + 60_000], j[k : k + 60_000]
+        for k in range(0, len(i), 20_000):
+            x, y = i[k : k + 20_000], j[k : k + 20_000]
+            common = prints[x] == prints[y]
+            first = prints[x, common.argmax(axis=1)] == key[x]
+            x, y = x[first], y[first]
             s, fit = plausible(regs[x], regs[y], least)
             left.append(x[fit])
             right.append(y[fit])
@@ -237,7 +238,7 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     Each turn contracts edges by the labels, hooks every component to its
     least neighbour and follows three hooks.
     """
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     fresh = nodes.select("node", F.col("node").alias("label"))
     if labels is not None:
         fresh = labels.unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, width: int = WID
             if most is None:
                 labels, tested = materialize(full.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0), "labels"), pairs
             continue
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
         sets = materialize(_sets(docs, nodes, width), "sets")
         links = materialize(_confirmed(pairs, sets, percent), "links")
         drop(sets)
