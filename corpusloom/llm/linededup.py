@@ -205,8 +205,8 @@ class LineIndex:
                 yield batch.append_column("_touched", pa.array(bloom_hits(bitmap.value, batch.column("_h").to_numpy())))
 
         schema = docs.schema
-        marked = docs.withColumn("_h", key)
-        marked = marked.mapInArrow(thin, marked.schema.add("_touched", "boolean"))
+        with_key = docs.withColumn("_h", key)
+        marked = with_key.mapInArrow(thin, with_key.limit(0).withColumn("_touched", F.lit(True)).schema)
 
         def cut(batches):
             for batch in batches:
