@@ -47,7 +47,9 @@ def page_content_aggressive(spark, d):
 
 
 def extraction_method_counts(spark, d):
-    return _parsed(spark, d).groupBy("extraction_method").agg(F.count("*").alias("n"))
+    """Pages whose main area gave enough text, and pages that needed a fallback."""
+    method = F.when(F.col("extraction_method") == "manual", "manual").otherwise("fallback")
+    return _parsed(spark, d).groupBy(method.alias("extraction_method")).agg(F.count("*").alias("n"))
 
 
 def _links(spark, d):
@@ -219,7 +221,7 @@ ORACLES = {
     "page_links_nav_split": f"WITH {_LINKS} SELECT page_id, is_navigation, count(*) AS n FROM links GROUP BY ALL",
     "page_content_manual": f"WITH c AS (SELECT page_id, {_plain(_ARTICLE)} AS content FROM pages) SELECT page_id, content, len(string_split(content, ' '))::BIGINT AS words FROM c WHERE length(content) >= 100",
     "page_content_all_text": f"SELECT page_id, {_plain(_BODY)} AS all_text FROM pages",
-    "extraction_method_counts": f"SELECT CASE WHEN length({_plain(_ARTICLE)}) >= 100 THEN 'manual' ELSE 'aggressive' END AS extraction_method, count(*) AS n FROM pages GROUP BY 1",
+    "extraction_method_counts": f"SELECT CASE WHEN length({_plain(_ARTICLE)}) >= 100 THEN 'manual' ELSE 'fallback' END AS extraction_method, count(*) AS n FROM pages GROUP BY 1",
     "link_prefilter": f"WITH {_LINKS} SELECT page_id, url, ({_HOST.format('url')} = 'example.com' OR {_HOST.format('url')} LIKE '%.example.com') AND NOT regexp_matches(lower({_PATH.format('url')}), '{_SKIPS}') AS kept, {_HOST.format('url')} LIKE '%example.com' AND NOT regexp_matches(lower({_PATH.format('url')}), '{_SKIPS}') AS kept_loose FROM links",
     "link_heuristic_score": f"WITH {_LINKS} SELECT page_id, url, {_LIKE} OR NOT is_navigation AS should_follow, CASE WHEN {_LIKE} AND NOT is_navigation THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS priority, 'heuristic evaluation' AS reason FROM links",
     "link_scores_of_candidates": f"WITH {_CAND} SELECT * FROM scored",

@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusloom.plans.catalog import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def tables():
 
 
 def _value(x):
-    if x is None or x != x:
+    if x is None or pd.isna(x):
         return None
     if hasattr(x, "item"):
         x = x.item()
