@@ -25,7 +25,7 @@ ROWS = 4  # registers in a band: 32 bands
 MANTISSA = 10
 SMALL = 256
 LARGE = int(0.75 * SMALL)
-FINE = 512
+FINE = 1024
 BANDS = REGISTERS // ROWS
 SKETCH_BYTES = FINE // 2 + 4 * BANDS
 EMPTY = np.uint16(0xFFFF)

@@ -5,7 +5,7 @@
 2. Classes that share a band key are candidates.  First each class meets the
    least class of its bucket.  Then, in buckets that still hold more than one
    component, each class meets its nearest classes of other components by
-   estimated similarity: 4, then 64, then all that the estimate can't rule out.  No
+   estimated similarity: 4, then all that the estimate can't rule out.  No
    pair within a component is looked at again, so that large groups of copies
    cost pairs in proportion to their size.
 3. Pairs that the estimate lets pass are confirmed on the full sets.
@@ -31,7 +31,7 @@ from .scratch import bloom, bloom_hits, drop, materialize, small_batches
 SIMILARITY = 75  # per cent
 WIDTH = 5
 BLOCK = 2048  # classes of one bucket compared in one place
-NEAREST = (4, 64, 1 << 40)
+NEAREST = (4, 1 << 40)
 
 _SIGS = pa.schema(
     [
@@ -173,8 +173,8 @@ def _pairs(block, key, node, label, regs, prints, least: float, most: int) -> It
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
         other = label[i] != label[j]
         i, j = i[other], j[other]
-        for k in range(0, len(i), 20_000):
-            x, y = i[k : k + 20_000], j[k : k + 20_000]
+        for k in range(0, len(i), 8_000):
+            x, y = i[k : k + 8_000], j[k : k + 8_000]
             common = prints[x] == prints[y]
             first = prints[x, common.argmax(axis=1)] == key[x]
             x, y = x[first], y[first]
