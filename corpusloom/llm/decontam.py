@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .scratch import small_batches
+from .scratch import small_batches, tidy
 
 WINDOW = 8
 SHARD_WORDS = 1 << 20
@@ -145,7 +145,7 @@ def _scan(docs: DataFrame, phrases, window: int) -> DataFrame:
         if columns:
             yield from flush(shard, columns)
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(tidy(search), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -216,7 +216,7 @@ def cut_spans(found: DataFrame) -> DataFrame:
                     texts[k] = b"".join([*parts, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
-    return found.mapInArrow(cut, found.schema).drop("n_words", "n_hit", "spans", "item_ids")
+    return found.mapInArrow(tidy(cut), found.schema).drop("n_words", "n_hit", "spans", "item_ids")
 
 
 def items_digest(items: list[str]) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .scratch import bloom, bloom_hits, materialize, small_batches
+from .scratch import bloom, bloom_hits, materialize, small_batches, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
@@ -66,7 +66,7 @@ def line_counts(docs: DataFrame, least: int = 1) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(found.values()), pa.int64())], names=["high", "low", "n_docs"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, COUNTS)
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(count), COUNTS)
     return rows.groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -181,7 +181,7 @@ class LineIndex:
                     out.append(text if len(stay) == len(one) else b"\n".join(stay).decode())
                 yield _with(batch, out, n, dropped)
 
-        return docs.mapInArrow(cut, _schema(docs))
+        return docs.mapInArrow(tidy(cut), _schema(docs))
 
     def _apply_joined(self, docs: DataFrame) -> DataFrame:
         least = self.least
@@ -194,7 +194,7 @@ class LineIndex:
                     a = np.array(rows, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(a[:, j]) for j in range(3)], names=["h", "high", "low"])
 
-        hit = docs.select("text", key).mapInArrow(lines, "h long, high long, low long").join(self.blocked, ["high", "low"])
+        hit = docs.select("text", key).mapInArrow(tidy(lines), "h long, high long, low long").join(self.blocked, ["high", "low"])
         hit = materialize(hit, "dropped-lines")  # h: of the text, so that equal texts share their decisions
         per = hit.select("h").distinct()
         bitmap = self.spark.sparkContext.broadcast(bloom(per, "h", per.count()))
@@ -206,7 +206,7 @@ class LineIndex:
 
         schema = docs.schema
         with_key = docs.withColumn("_h", key)
-        marked = with_key.mapInArrow(thin, with_key.limit(0).withColumn("_touched", F.lit(True)).schema)
+        marked = with_key.mapInArrow(tidy(thin), with_key.limit(0).withColumn("_touched", F.lit(True)).schema)
 
         def cut(batches):
             for batch in batches:
@@ -222,7 +222,7 @@ class LineIndex:
 
         touched = marked.where("_touched").join(keys.withColumnRenamed("h", "_h"), "_h", "left").select(*schema.names, "_blocked")
         rest = marked.where("not _touched").withColumn("_blocked", F.lit(None).cast("array<struct<high:bigint,low:bigint>>")).select(*schema.names, "_blocked")
-        return touched.mapInArrow(cut, _schema(docs)).unionByName(rest.mapInArrow(cut, _schema(docs)))
+        return touched.mapInArrow(tidy(cut), _schema(docs)).unionByName(rest.mapInArrow(tidy(cut), _schema(docs)))
 
 
 def _built(pdf: pd.DataFrame) -> pd.DataFrame:

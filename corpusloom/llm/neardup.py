@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hyperminhash import plausible, shingles, sketches, unpack
-from .scratch import bloom, bloom_hits, drop, materialize, small_batches
+from .scratch import bloom, bloom_hits, drop, materialize, small_batches, tidy
 
 SIMILARITY = 75  # per cent
 WIDTH = 5
@@ -62,7 +62,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 rows.append((doc_id, len(s), int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), *sketches(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGS, strict=True)] if rows else [pa.array([], f.type) for f in _SIGS], schema=_SIGS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(sign), SIGS)
 
 
 # --------------------------------------------------------------- candidates
@@ -76,7 +76,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(bloom_hits(held.value, batch.column("bucket").to_numpy())))
 
-    near = keys.mapInArrow(thin, keys.schema)
+    near = keys.mapInArrow(tidy(thin), keys.schema)
     out = materialize(near.join(shared, ["zone", "bucket"]).select("zone", "bucket", "hub", "node"), "members")
     drop(shared)
     return out
@@ -93,7 +93,7 @@ def _estimated(pairs: DataFrame, registers: DataFrame, least: float) -> DataFram
                 a, b = (unpack(batch.column(c).to_pylist())[0] for c in ("ra", "rb"))
                 yield batch.select(["a", "b"]).filter(pa.array(plausible(a, b, least)[1]))
 
-    return joined.mapInArrow(keep, "a long, b long").distinct()
+    return joined.mapInArrow(tidy(keep), "a long, b long").distinct()
 
 
 def _blocks(members: DataFrame, labels: DataFrame, registers: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _nearest(blocks: DataFrame, least: float, most: int) -> DataFrame:
         for group in _groups(batches):
             yield from _pairs(*group, least, most)
 
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def _groups(batches) -> Iterator[tuple]:
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             rows = [(i, shingles(t, width).tobytes()) for i, t in zip(hit.column("doc_id").to_pylist(), _texts(hit), strict=True) if i is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "shingles"])
 
-    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(thin, "node long, shingles binary")
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(thin), "node long, shingles binary")
     return some.join(nodes, "node", "left_semi")
 
 
@@ -228,7 +228,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 # --------------------------------------------------------------- components

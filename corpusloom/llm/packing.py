@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialize, small_batches
+from .scratch import drop, materialize, small_batches, tidy
 from .tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
     schema = PIECES + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut), schema)
 
 
 def _packed(df: DataFrame, partitions: int, turn: int, capacity: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _packed(df: DataFrame, partitions: int, turn: int, capacity: int) -> DataFra
         yield from t.to_batches(max_chunksize=20_000)
 
     dealt = df.repartition(partitions, F.xxhash64("doc_id", "piece", F.lit(turn)))
-    return dealt.mapInArrow(pack, PACKED)
+    return dealt.mapInArrow(tidy(pack), PACKED)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir, small_batches
+from .scratch import shared_dir, small_batches, tidy
 from .tokens import END_ID, encoder
 
 SCALE_BITS = 20
@@ -222,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, partitions: int | None = None,
         yield from map(_as_batch, made.rows())
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", str(8 << 20)).parquet(path)
+    ordered.mapInArrow(tidy(encode), FILE_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", str(8 << 20)).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -256,7 +256,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 _CLOSERS = ".,;:!?"
-_MOST = 700_000  # entries kept by a worker
+_MOST = 300_000  # entries kept by a worker
 
 
 class _Irregular(Exception):
