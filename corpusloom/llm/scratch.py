@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+
 _own: str | None = None
 
 
@@ -35,8 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of an Arrow batch: whole texts must fit a Python worker."""
+    """Rows and bytes of an Arrow batch: whole texts must fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def tidy(work):
