@@ -1,10 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A run is several consecutive sentences: from each sentence on, as many as make
-at least MIN_SENTENCES sentences and MIN_WORDS words.  All runs are hashed
-(128 bits) and joined globally; of a run found more than once the first place
-(least doc_id, then place in the text) stays, and every sentence inside any
-other place of it is removed.
+A run is RUN consecutive sentences, however short; one starts at every sentence
+that has enough after it, so the runs of a longer repeated passage cover all of
+its sentences.  All runs are hashed (128 bits) and joined globally; of a run
+found more than once the first place (least doc_id, then place in the text)
+stays, and every sentence inside any other place of it is removed.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .scratch import bloom, bloom_hits, drop, materialize, small_batches
 
-MIN_SENTENCES = 2
-MIN_WORDS = 24
+RUN = 2  # sentences
 # A sentence ends after . ! or ? before white space, and at a line feed.
 _END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
 _NULL_ID = -(1 << 63)
@@ -40,19 +39,11 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 def runs(text: bytes | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
     """Sentences, and runs: first sentence, one past the last, 128-bit hash of the words as two signed integers."""
     parts = sentences(text or b"")
-    words = [(text or b"")[a:b].lower().split() for a, b in parts]
-    joined = [b" ".join(w) for w in words]
-    size = [len(w) for w in words]
-    out, j, held = [], 0, 0
-    for i in range(len(parts)):
-        while j < len(parts) and (j - i < MIN_SENTENCES or held < MIN_WORDS):
-            held += size[j]
-            j += 1
-        if j - i < MIN_SENTENCES or held < MIN_WORDS:
-            break
-        x = xxhash.xxh3_128_digest(b" ".join(joined[i:j]))
-        out.append((i, j, int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True)))
-        held -= size[i]
+    joined = [b" ".join((text or b"")[a:b].lower().split()) for a, b in parts]
+    out = []
+    for i in range(len(parts) - RUN + 1):
+        x = xxhash.xxh3_128_digest(b" ".join(joined[i : i + RUN]))
+        out.append((i, i + RUN, int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True)))
     return parts, out
 
 

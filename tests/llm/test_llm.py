@@ -381,6 +381,19 @@ def test_span_dedup(spark):
     assert spans.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [(40, 8, 5), (20, 20, 8, 8), (5, 4)])
+def test_span_dedup_takes_whole_passages(spark, lengths):
+    rng = random.Random(10)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(n) for n in lengths)
+    own = [(sentence(9), sentence(9)) for _ in range(4)]
+    rows = [(k, f"{a} {passage} {b}") for k, (a, b) in enumerate(own)]
+    got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["n_removed"] == 0
+    for k, (a, b) in enumerate(own[1:], 1):
+        assert got[k]["text"] == f"{a} {b}" and got[k]["n_removed"] == len(lengths)
+
+
 # -------------------------------------------------------------- op9: near-dedup
 def brute_components(rows):
     sets = {}
