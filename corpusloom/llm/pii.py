@@ -146,12 +146,13 @@ def _round(key: bytes, tweak: str, r: int, x: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{r}|{tweak}|{x}".encode(), key=key, digest_size=32).digest(), "big")
 
 
-_LATIN = ("ba be bi bo ca ce co da de di do fa fe ga ge la le li lo ma me mi mo na ne no pa pe po ra re ri ro sa se si so ta te ti to va ve vi".split(), "n r l s t nd rt ck".split())
-_CYRILLIC = ("ба бе би бо ва ве ви во га го да де ди до за зе ка ко ла ле ли ло ма ме ми мо на не но па пе по ра ре ри ро са се та те ти то".split(), "в н р ев ин ов ский".split())
-_GREEK = ("βα βε γα γε δα δη κα κο λα λε λι μα με μη να νε νι πα πε ρα ρε ρι σα σε τα τε τι φα φι χα".split(), "ς κης δης".split())
+# Syllables, endings of surnames, endings of given names by gender.
+_LATIN = ("ba be bi bo ca ce co da de di do fa fe ga ge la le li lo ma me mi mo na ne no pa pe po ra re ri ro sa se si so ta te ti to va ve vi".split(), "n r l s t nd rt ck".split(), {"m": "no ro do lo us".split(), "f": "na ra la nia lia".split(), "n": "ny ry ly dy".split()})
+_CYRILLIC = ("ба бе би бо ва ве ви во га го да де ди до за зе ка ко ла ле ли ло ма ме ми мо на не но па пе по ра ре ри ро са се та те ти то".split(), "в н р ев ин ов ский".split(), {"m": "ндр льд мир".split(), "f": "на ра ла ия".split(), "n": "ни ри ли".split()})
+_GREEK = ("βα βε γα γε δα δη κα κο λα λε λι μα με μη να νε νι πα πε ρα ρε ρι σα σε τα τε τι φα φι χα".split(), "ς κης δης".split(), {"m": "νος ρος λος".split(), "f": "να ρα λα".split(), "n": "νι ρι λι".split()})
 
 
-def _script(word: str) -> tuple[list[str], list[str]]:
+def _script(word: str) -> tuple[list[str], list[str], dict[str, list[str]]]:
     c = next((ord(x) for x in word if x.isalpha()), 0)
     return _CYRILLIC if 0x400 <= c < 0x530 else _GREEK if 0x370 <= c < 0x400 else _LATIN
 
@@ -185,10 +186,12 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "secret":
         return value[:4] + _classes(value[4:], key, tweak) if value.startswith("AKIA") else _hex(value, key, tweak)
     if kind.startswith("given_"):
-        pool = GIVEN["m"] + GIVEN["f"] if kind[-1] == "n" else GIVEN[kind[-1]]
-        if _script(value) is _LATIN:
-            return pool[_round(key, tweak, 0, int.from_bytes(value.encode(), "big")) % len(pool)].lower()
-    return _syllables(value, key, tweak)
+        pool = [n.lower() for n in GIVEN.get(kind[-1], ())]
+        if attempt == 0 and value in pool:  # the next one in a keyed order: distinct and never the name itself
+            pool.sort(key=lambda n: _round(key, tweak, 0, int.from_bytes(n.encode(), "big")))
+            return pool[(pool.index(value) + 1) % len(pool)]
+        return _syllables(value, key, tweak, _script(value)[2][kind[-1]])
+    return _syllables(value, key, tweak, _script(value)[1])
 
 
 def _phone(value: str, key: bytes, tweak: str) -> str:
@@ -222,8 +225,8 @@ def _hex(text: str, key: bytes, tweak: str) -> str:
     return f"{permute(int(text, 16), 16 ** len(text), key, f'{tweak}/{len(text)}'):0{len(text)}x}"
 
 
-def _syllables(value: str, key: bytes, tweak: str) -> str:
-    syllables, ends = _script(value)
+def _syllables(value: str, key: bytes, tweak: str, ends: list[str]) -> str:
+    syllables = _script(value)[0]
     x = _round(key, tweak, 0, int.from_bytes(value.encode(), "big"))
     out = []
     for _ in range(3 + x % 2):
@@ -263,18 +266,14 @@ def _entities(docs: DataFrame) -> DataFrame:
 
 
 def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, attempt of the entities whose first surrogate is taken.
-
-    Given names share a small pool and are told apart by the surname, so they
-    are not checked.
-    """
+    """kind, value, attempt of the entities whose first surrogate is taken."""
 
     def draw(batches):
         for pdf in batches:
             new = [surrogate(k, v, key, a) for k, v, a in zip(pdf["kind"], pdf["value"], pdf["attempt"], strict=True)]
             yield pd.DataFrame({"kind": pdf["kind"], "value": pdf["value"], "attempt": pdf["attempt"], "new": new})
 
-    now = entities.where("NOT startswith(kind, 'given_')").withColumn("attempt", F.lit(0))
+    now = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
     for turn in range(ATTEMPTS):
         drawn = materialize(now.mapInPandas(draw, "kind string, value string, attempt int, new string"), "surrogates")

@@ -529,6 +529,15 @@ def test_exceptions_resolve_collisions(spark):
     assert not set(new.values()) & set(new)
 
 
+def test_given_names_stay_distinct(spark):
+    other = [f"{a}{b}" for a in ("xav", "walt", "gord", "bern", "ott", "fel") for b in ("ier", "er", "on", "ard", "is", "ix", "en", "ulf")]
+    rows = [(f"given_{g}", n) for g in "mfn" for n in [x.lower() for x in pii.GIVEN.get(g, ())] + other + ["иван", "νίκος"]]
+    taken = {(r["kind"], r["value"]): r["attempt"] for r in pii.exceptions(spark.createDataFrame(rows, "kind string, value string"), b"corpusloom").collect()}
+    new = {(k, v): pii.surrogate(k, v, b"corpusloom", taken.get((k, v), 0)) for k, v in rows}
+    assert len(set(new.values())) == len(rows)
+    assert not set(new.values()) & {v for _, v in rows}
+
+
 # ----------------------------------------------------------------------- shared
 def test_bloom_has_no_false_negatives(spark):
     df = spark.range(5000).select((F.col("id") * 7919).alias("k"))
