@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,25 +89,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _first_wins(found: list[tuple]) -> list[tuple]:
+    """Entities in the order of finding, without those that overlap an earlier one."""
     kept: list[tuple] = []
+    starts: list[int] = []  # of kept ones, sorted, as are their ends
+    ends: list[int] = []
     for x in found:
-        if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
+        k = bisect_left(starts, x[1])
+        if k == 0 or ends[k - 1] <= x[0]:
             kept.append(x)
-    return kept if len(found) < 2000 else _first_wins_sorted(found)
-
-
-def _first_wins_sorted(found: list[tuple]) -> list[tuple]:
-    """The same for many entities: by kind, then a sweep over starts."""
-    taken: list[tuple] = []
-    kinds = list(dict.fromkeys(x[2] for x in found))
-    for kind in kinds:
-        ends = np.array([e for _, e, *_ in sorted(taken)], dtype=np.int64)
-        starts = np.array([s for s, *_ in sorted(taken)], dtype=np.int64)
-        for x in (y for y in found if y[2] == kind):
-            k = int(np.searchsorted(starts, x[1]))
-            if k == 0 or ends[k - 1] <= x[0]:
-                taken.append(x)
-    return taken
+            starts.insert(k, x[0])
+            ends.insert(k, x[1])
+    return kept
 
 
 def _name_parts(start: int, name: str, gender: str) -> list[tuple[int, int, str, str]]:

@@ -496,6 +496,29 @@ def test_surrogates_keep_type_and_format():
     assert new[5] in pii.GIVEN["f"] and re.fullmatch("[А-Яа-я]+", new[7])
 
 
+def test_overlaps_are_settled_alike_at_every_length():
+    text = "Mr Smith met Mr James John Smith."
+    few = pii.detect(text)
+    many = pii.detect(text + " Mail a@b.example.com" * 2500)
+    assert ("given_m", "john") in [x[2:] for x in few]
+    assert len(many) == len(few) + 2500 and many[: len(few)] == few
+
+
+def brute_first_wins(found):
+    kept = []
+    for x in found:
+        if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
+            kept.append(x)
+    return kept
+
+
+def test_first_wins():
+    rng = random.Random(12)
+    for n in (0, 1, 5, 40, 400, 2500):
+        found = [(a, a + rng.randint(1, 9), rng.choice("abc"), "") for a in (rng.randrange(3 * n) for _ in range(n))]
+        assert pii._first_wins(found) == brute_first_wins(found)
+
+
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_surrogates_are_distinct_and_consistent(spark, monkeypatch, most):
     real = pii.surrogate
