@@ -71,13 +71,14 @@ def sentence_pack(text: str, target_chars: int) -> list[str]:
 
 
 def _cut(text: str, most: int) -> list[str]:
-    """Windows of an overlong chunk, each up to its last period if that is past the middle."""
-    width, out = most * 4 - 200, []
-    for k in range(0, len(text), width):
-        part = text[k : k + width]
+    """Windows of an overlong chunk, each up to its last period if that is past the middle; the next starts there."""
+    width, out, at = most * 4 - 200, [], 0
+    while at < len(text):
+        part = text[at : at + width]
         period = part.rfind(".")
         if period > len(part) // 2:
             part = part[: period + 1]
+        at += len(part)
         if part.strip():
             out.append(part.strip())
     return out or [text[: most * 4]]

@@ -154,6 +154,13 @@ def test_chunk_empty_and_hard_limit():
     assert all(len(c) <= 8000 for c in C.chunk_text(long))
 
 
+def test_chunk_cut_loses_nothing():
+    long = ".".join(f"w{k}x" * (k % 40 + 1) for k in range(600))
+    chunks = C.chunk_text(long)
+    assert len(chunks) > 2 and "".join(chunks) == long
+    assert all(len(c) <= 8000 for c in chunks)
+
+
 def test_rrf(spark):
     vector = spark.createDataFrame([("A", 0.9), ("B", 0.8), ("C", 0.7)], "id string, score double")
     text = spark.createDataFrame([("B", 9.0), ("D", 8.0)], "id string, score double")
