@@ -31,10 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have; documents left without text go."""
+    """Every document, without the lines that ten or more of them have."""
     cut = linededup.LineIndex.of(docs, min_docs=10).apply(docs)
-    kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_length(kept.select(*docs.columns))
+    return _with_length(cut.select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -607,3 +607,16 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == left
     assert [r["n_hit"] for r in decontam.contamination(d, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()] == [0] * len(left)
+
+
+def test_pipeline_line_dedup_keeps_every_document(spark):
+    import corpus_pipeline
+
+    copied = "one line\nand another"
+    rows = [(k, copied, "en", "s", len(copied)) for k in range(12)] + [(12, "a line of its own", "en", "s", 17), (13, None, "en", "s", None)]
+    given = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["line dedup"](spark, given, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(14))
+    assert all(r["text"] == "" and r["n_chars"] == 0 for r in got if r["doc_id"] < 12)
+    assert [r["text"] for r in got if r["doc_id"] == 12] == ["a line of its own"]
