@@ -7,7 +7,9 @@ at least min_docs documents).  insert() and delete() change counts by +1 and
 a document away undoes what adding it did.
 
 apply() drops the lines with blocked keys.  Filters settle nearly all lines;
-the few that pass are confirmed against the exact counts.
+the few that pass are confirmed against the exact counts.  Beyond
+MAX_BROADCAST_KEYS blocked keys it joins all lines with the exact keys and
+probes no filter.
 """
 
 from __future__ import annotations
