@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` (the
 folder all executors share).  The setting is read from the session; where it
-is unset (tests, notebooks) a folder for this process is made.
+is unset in local mode (tests, notebooks) a folder for this process is made.
 """
 
 from __future__ import annotations
@@ -19,27 +19,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder in spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder in spark.checkpoint.dir, or (in local mode only) one of our own where that is unset."""
     global _own
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows and bytes of an Arrow batch: whole texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch: whole texts must fit a Python worker.
+
+    The limits are the session's, there are none of a plan.  All operators
+    ask for the same ones, and a lower limit set by the caller stays.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):  # unlimited, or more
+            spark.conf.set(name, str(most))
+
+
+def set_aside(docs: DataFrame, reads: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns an operator doesn't read under names that can't clash with its own.
+
+    `replaced` ones, which the operator makes anew, go.  The second value is
+    for put_back().
+    """
+    plain = [c if c in reads else f"_given{k}" for k, c in enumerate(docs.columns)]
+    gone = {p for p, c in zip(plain, docs.columns, strict=True) if c in replaced and p != c}
+    return docs.toDF(*plain).drop(*gone), {p: c for p, c in zip(plain, docs.columns, strict=True) if p not in gone}
+
+
+def put_back(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under the names they were given."""
+    return out.toDF(*[names.get(c, c) for c in out.columns])
 
 
 def tidy(work):

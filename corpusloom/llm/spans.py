@@ -3,8 +3,11 @@
 A run is RUN consecutive sentences, however short; one starts at every sentence
 that has enough after it, so the runs of a longer repeated passage cover all of
 its sentences.  All runs are hashed (128 bits) and joined globally; of a run
-found more than once the first place (least doc_id, then place in the text)
-stays, and every sentence inside any other place of it is removed.
+found more than once the first place (least doc_id, then text, then place in
+the text) stays, and every sentence inside any other place of it is removed.
+
+A document is what doc_id and text say together: rows that share a doc_id but
+not the text are documents of their own, as are rows without a doc_id.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bloom, bloom_hits, drop, materialize, small_batches
+from .scratch import bloom, bloom_hits, drop, materialize, put_back, set_aside, small_batches, tidy
 
 RUN = 2  # sentences
 # A sentence ends after . ! or ? before white space, and at a line feed.
 _END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
-_NULL_ID = -(1 << 63)
 
 
 def sentences(text: bytes) -> list[tuple[int, int]]:
@@ -51,29 +53,44 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _key, which tell documents apart.
+
+    Without a doc_id a second hash of the text stands for it, below all
+    ordinary ids.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    instead = F.shiftrightunsigned(F.xxhash64(text, F.lit(1)), 2) + F.lit(-(1 << 63))
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), instead), "_key": F.xxhash64(text)})
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """_id, first, last: sentences [first, last) of a document inside a non-first place of a repeated run."""
+    """_id, _key, first, last: sentences [first, last) of a document inside a non-first place of a repeated run."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col("text").cast("string"))
+    given = _keyed(docs).select("_id", "_key", F.col("text").cast("string"))
+    names = ["_id", "_key", "first", "last", "high", "low"]
 
     def every(batches, bitmap=None):
         for batch in batches:
-            rows = [(i, a, b, high, low) for i, t in zip(batch.column("_id").to_pylist(), _texts(batch), strict=True) for a, b, high, low in runs(t)[1]]
-            if not rows:
+            per = [runs(t)[1] for t in _texts(batch)]
+            x = np.array([r for found in per for r in found], dtype=np.int64).reshape(-1, 4)
+            if not len(x):
                 continue
-            x = np.array(rows, dtype=np.int64)
+            row = np.repeat(np.arange(len(per)), [len(found) for found in per])
             if bitmap is not None:
-                x = x[bloom_hits(bitmap.value, x[:, 3])]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(5)], names=["_id", "first", "last", "high", "low"])
-
-    schema = "_id long, first long, last long, high long, low long"
-    # Repeated rows with one doc_id are the same place, so places are counted as distinct.
-    place = F.struct("_id", "first")
-    found = given.mapInArrow(every, schema).groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
+                near = bloom_hits(bitmap.value, x[:, 3])
+                x, row = x[near], row[near]
+            held = [batch.column(c).take(pa.array(row)) for c in ("_id", "_key")]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(x[:, k]) for k in range(4))], names=names)
+
+    schema = "_id long, _key long, first long, last long, high long, low long"
+    # Repeated rows (one doc_id, one text) are the same place, so places are counted as distinct.
+    place = F.struct("_id", "_key", "first")
+    found = given.mapInArrow(tidy(every), schema).groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
     again = materialize(found.select("high", "low", "least"), "repeated-runs")
-    held = docs.sparkSession.sparkContext.broadcast(bloom(again, "high", again.count()))
-    near = given.mapInArrow(lambda batches: every(batches, held), schema)
-    hits = near.join(again, ["high", "low"]).where(place != F.col("least")).select("_id", "first", "last")
+    held = docs.sparkSession.sparkContext.broadcast(bloom(again, "low", again.count()))
+    near = given.mapInArrow(tidy(lambda batches: every(batches, held)), schema)
+    hits = near.join(again, ["high", "low"]).where(place != F.col("least")).select("_id", "_key", "first", "last")
     out = materialize(hits.distinct(), "span-hits")
     drop(again)
     return out
@@ -84,25 +101,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Sentences inside a non-first place of a repeated run go, with the white
     space up to the next sentence.  Null and empty texts have no sentences and
-    stay as they are; rows that share a doc_id count as one document; a null
-    doc_id sorts first.  Input columns n_sentences, n_removed are replaced;
-    _id, _spans and _touched are names of this function and left out.
+    stay as they are.  Rows equal in doc_id and text are one document and stay
+    alike; rows that share only a doc_id, or have none, are documents of their
+    own, the latter before all others.  Input columns n_sentences and
+    n_removed are replaced, all others kept, whatever their names.
     """
-    docs = docs.drop("n_sentences", "n_removed", "_id", "_spans", "_touched")
+    docs, given = set_aside(docs, ("doc_id", "text"), ("n_sentences", "n_removed"))
     hits = repeated_spans(docs)
-    ids = hits.select("_id").distinct()
-    held = docs.sparkSession.sparkContext.broadcast(bloom(ids, "_id", ids.count()))
-    per = hits.groupBy("_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))  # at most a document's sentences
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
+    ids = hits.select("_key").distinct()
+    held = docs.sparkSession.sparkContext.broadcast(bloom(ids, "_key", ids.count()))
+    per = hits.groupBy("_id", "_key").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))  # at most a document's sentences
+    marked = _keyed(docs)
     names = docs.columns
     empty = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
 
     def mark(batches):
         for batch in batches:
-            yield batch.append_column("_touched", pa.array(bloom_hits(held.value, batch.column("_id").to_numpy())))
+            yield batch.append_column("_touched", pa.array(bloom_hits(held.value, batch.column("_key").to_numpy())))
 
-    marked = marked.mapInArrow(mark, docs.limit(0).withColumn("_id", F.lit(0).cast("long")).withColumn("_touched", F.lit(True)).schema)
-    touched = marked.where("_touched").join(per, "_id", "left").select(*names, "_spans")
+    marked = marked.mapInArrow(mark, marked.limit(0).withColumn("_touched", F.lit(True)).schema)
+    touched = marked.where("_touched").join(per, ["_id", "_key"], "left").select(*names, "_spans")
     rest = marked.where("NOT _touched").select(*names, empty.alias("_spans"))
 
     def cut(batches):
@@ -124,4 +142,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_sentences", "n_removed"])
 
     schema = docs.limit(0).withColumn("n_sentences", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    return touched.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))
+    return put_back(touched.mapInArrow(tidy(cut), schema).unionByName(rest.mapInArrow(tidy(cut), schema)), given)
