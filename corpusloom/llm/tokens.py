@@ -6,7 +6,8 @@ always starts a piece, so a text without runs of white space is the sequence
 of its blank-separated chunks, each encoded with its blank.  Chunks repeat, so
 their ids are kept in a bounded table of the worker process; only chunks not
 in it go through the library.  Texts that the cut does not fit (runs of white
-space) go through the library whole.
+space) go through the library whole.  Special tokens written in a text become
+their ids, as the library has it.
 """
 
 from __future__ import annotations
@@ -81,7 +82,6 @@ class TextEncoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model, self._alphabet = self._tokenizer.model, _alphabet()
         self.spaced, self.bare, self._closers = _Known(self, " "), _Known(self, ""), {}
         self._seen = self._missed = 0
