@@ -24,14 +24,13 @@ from .scratch import small_batches
 class ChatTemplate:
     """Marks of a turn and the order of roles.
 
-    escape + anything stands for that thing literally; every control
-    character sequence starts with `opener`, and texts get the escape before
-    each opener and each escape character.
+    Marks and controls start with a guarded character.  In texts and roles the
+    escape follows each guarded character and each escape, so that a control
+    string is broken after its first character and occurs nowhere in them.
     """
 
     begin: str = "<|{role}|>"
     end: str = "<|end|>"
-    opener: str = "<"
     escape: str = "\\"
     controls: tuple[str, ...] = ("</s>", "<s>", "[INST]", "[/INST]")
     trained: tuple[str, ...] = ("assistant",)
@@ -49,22 +48,34 @@ class ChatTemplate:
     )
     final: tuple[str, ...] = ("assistant",)
 
-    def special(self) -> str:
-        """Characters that a text's escape guards: the escape, the opener, first characters of controls."""
-        return "".join(dict.fromkeys([self.escape, self.opener, *(c[0] for c in self.controls)]))
+    def __post_init__(self):
+        for c in (self.begin, self.end, *self.controls):
+            if len(c) < 2 or c[1] == self.escape or self.escape in self.guarded():
+                raise ValueError(f"the escape does not break {c!r}")
+
+    def guarded(self) -> str:
+        """First characters of marks and controls."""
+        return "".join(dict.fromkeys(c[0] for c in (self.begin, self.end, *self.controls)))
 
     def escaped(self, text: str) -> str:
-        for c in self.special():  # the escape itself comes first
-            text = text.replace(c, self.escape + c)
+        for c in self.escape + self.guarded():  # the escape itself comes first
+            text = text.replace(c, c + self.escape)
         return text
 
     def unescaped(self, text: str) -> str:
-        out, at = [], 0
-        while (k := text.find(self.escape, at)) >= 0:
-            out.append(text[at:k])
-            out.append(text[k + 1 : k + 2])
-            at = k + 2
-        out.append(text[at:])
+        """Take out the escape that follows each guarded character and each escape."""
+        parts, at = text.split(self.escape), 0
+        if len(parts) == 1:
+            return text
+        out = []
+        while at < len(parts):
+            x = parts[at]
+            if at + 1 < len(parts) and not (x and x[-1] in self.guarded()):
+                x, at = x + self.escape, at + 1  # two escapes stand for one
+                if parts[at]:
+                    raise ValueError("a lone escape")
+            out.append(x)
+            at += 1
         return "".join(out)
 
 
