@@ -11,8 +11,11 @@ so a sketch has two zones:
 
 Two sets with a similarity of 0.75 have sizes within that ratio, so that they
 share a zone.  Bands are cut from REGISTERS registers.  Estimates rest on FINE
-registers, each folded to 4 bits (0: empty): for the same bytes that errs half
-as much as whole registers do, and the estimate is corrected for collisions.
+registers, stored in 4 bits each: 0 for an empty one, else one more than the
+zeros modulo WRAP (minima of sets of like size lie within a few zeros of each
+other) and the first mantissa bit.  For the same bytes that errs half as much
+as whole registers do.  The share of equal registers is corrected by the
+chance that different minima agree in what is stored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,33 @@ EMPTY = np.uint16(0xFFFF)
 # Odd multipliers of the permutations: a fixed pseudo-random sequence.
 _ODD = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SEEDS = np.random.Generator(np.random.PCG64(77003)).integers(0, 1 << 63, 2 * (REGISTERS // ROWS), dtype=np.uint64)
-# Chance that two different minima fold to the same 4 bits.
-COLLISION = 1 / 15
+WRAP = 7
+STORED_BITS = 1  # of the mantissa
+
+
+def collision_chance(similarity: float, bits: int = STORED_BITS) -> float:
+    """Chance that the minima of two equally large sets agree in what is stored, given that they differ.
+
+    The least of the union is x, of one set alone; the other set's minimum
+    lies behind it by an exponential distance.  Averaged over x and over the
+    position of the sets' size between two powers of two.
+    """
+    other = (1 + similarity) / 2  # share of the union that the other set has
+    x = (np.arange(4000) + 0.5) / 4000 * 16
+    found = []
+    for size in 2.0 ** (np.arange(16) / 16):
+        scaled = x / size  # in units in which cells are bounded by powers of two
+        cell = 2.0 ** np.floor(np.log2(scaled)) / (1 << bits)
+        end = (np.floor(scaled / cell) + 1) * cell
+        within = 1 - np.exp(-(end - scaled) * size * other)
+        # The same cell after WRAP halvings of the hash space, above x.
+        low, width = np.floor(scaled / cell) * cell * 2.0**WRAP, cell * 2.0**WRAP
+        again = np.exp(-(low - scaled) * size * other) - np.exp(-(low + width - scaled) * size * other)
+        found.append(np.average(within + again, weights=np.exp(-x)))
+    return float(np.mean(found))
+
+
+COLLISION = collision_chance(0.75)
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -91,9 +119,9 @@ def bands(registers: np.ndarray, zone: int) -> np.ndarray:
 
 def _sketch(fine: np.ndarray, keys: np.ndarray) -> bytes:
     """FINE registers of 4 bits, then 32 bits of each band key."""
-    x = (fine.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(8)
-    folded = np.where(fine == EMPTY, 0, x % 15 + 1).astype(np.uint8)
-    return (folded[0::2] | folded[1::2] << 4).tobytes() + (keys & 0xFFFFFFFF).astype("<u4").tobytes()
+    zeros, first = fine >> MANTISSA, fine >> (MANTISSA - STORED_BITS) & ((1 << STORED_BITS) - 1)
+    stored = np.where(fine == EMPTY, 0, 1 + (zeros % WRAP << STORED_BITS | first)).astype(np.uint8)
+    return (stored[0::2] | stored[1::2] << 4).tobytes() + (keys & 0xFFFFFFFF).astype("<u4").tobytes()
 
 
 def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None, np.ndarray, np.ndarray]:
@@ -120,11 +148,15 @@ def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected similarity of register rows, and how many registers it rests on."""
-    filled = (a | b) != 0
-    used = np.maximum(np.count_nonzero(filled, axis=-1), 1)
-    equal = np.count_nonzero((a == b) & filled, axis=-1)
-    return (equal / used - COLLISION) / (1 - COLLISION), used
+    """Collision-corrected similarity of register rows, and how many registers it rests on.
+
+    Registers that one set alone fills differ for certain: only those that
+    both fill can agree by collision.
+    """
+    used = np.maximum(np.count_nonzero(a | b, axis=-1), 1)
+    both = np.minimum(a, b) != 0
+    equal = np.count_nonzero((a == b) & both, axis=-1)
+    return (equal - COLLISION * np.count_nonzero(both, axis=-1)) / (used * (1 - COLLISION)), used
 
 
 def plausible(a: np.ndarray, b: np.ndarray, least: float, sigmas: float = 4.5) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """MinHash near-dedup on HyperMinHash sketches.
 
 1. Every document's set of five-word shingles gets a sketch and band keys;
-   documents with equal sets become one class, named by its least doc_id.
+   documents with equal sets become one class, which is a node.
 2. Classes that share a band key are candidates.  First each class meets the
    least class of its bucket.  Then, in buckets that still hold more than one
    component, each class meets its nearest classes of other components by
@@ -10,9 +10,10 @@
    cost pairs in proportion to their size.
 3. Pairs that the estimate lets pass are confirmed on the full sets.
 4. Confirmed links are contracted to components by hooking each component to
-   its least neighbour.
+   its least neighbour; a component is named by its least doc_id.
 
-Large buckets are cut into blocks; nothing is collected to the driver.
+Large buckets are cut into blocks; nothing is collected to the driver.  Rows
+that share a doc_id but not the text are documents of their own.
 """
 
 from __future__ import annotations
@@ -26,20 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hyperminhash import plausible, shingles, sketches, unpack
-from .scratch import bloom, bloom_hits, drop, materialize, small_batches, tidy
+from .scratch import bloom, bloom_hits, drop, materialize, put_back, set_aside, small_batches, tidy
 
 SIMILARITY = 75  # per cent
 WIDTH = 5
-BLOCK = 2048  # classes of one bucket compared in one place
+BLOCK = 512  # classes of one bucket compared in one place
+PARTNERS = 512  # pairs confirmed against one copy of a set
 NEAREST = (4, 1 << 40)
 
 _SIGS = pa.schema(
     [
-        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("small", pa.binary()), ("large", pa.binary()),
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("small", pa.binary()), ("large", pa.binary()),
         ("small_keys", pa.list_(pa.int64())), ("large_keys", pa.list_(pa.int64())),
     ]
 )
-SIGS = "doc_id long, n_shingles long, high long, low long, small binary, large binary, small_keys array<long>, large_keys array<long>"
+SIGS = "doc_id long, text_key long, n_shingles long, high long, low long, small binary, large binary, small_keys array<long>, large_keys array<long>"
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -53,16 +55,21 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def sign(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
+            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), _texts(batch), strict=True):
                 s = shingles(text, width)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None, None, [], []))
+                    rows.append((doc_id, key, 0, None, None, None, None, [], []))
                     continue
                 x = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((doc_id, len(s), int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), *sketches(s)))
+                rows.append((doc_id, key, len(s), int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), *sketches(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGS, strict=True)] if rows else [pa.array([], f.type) for f in _SIGS], schema=_SIGS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(sign), SIGS)
+    return _keyed(docs).mapInArrow(tidy(sign), SIGS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key: doc_id and the key tell documents apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
 
 
 # --------------------------------------------------------------- candidates
@@ -200,35 +207,54 @@ def _pairs(block, key, node, label, regs, prints, least: float, most: int) -> It
 
 # ------------------------------------------------------------- confirmation
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles (sorted unsigned 64-bit) of these documents; other texts are not shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node", nodes.count()))
+    """node, shingles (sorted unsigned 64-bit) of these (node, doc_id, text_key); other texts are not shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "text_key", nodes.count()))
 
     def thin(batches):
+        seen = set()  # a repeated row gives its set once in a task
         for batch in batches:
-            hit = batch.filter(pa.array(bloom_hits(held.value, batch.column("doc_id").fill_null(0).to_numpy())))
-            rows = [(i, shingles(t, width).tobytes()) for i, t in zip(hit.column("doc_id").to_pylist(), _texts(hit), strict=True) if i is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "shingles"])
+            hit = batch.filter(pa.array(bloom_hits(held.value, batch.column("text_key").to_numpy())))
+            rows = []
+            for i, k, t in zip(hit.column("doc_id").to_pylist(), hit.column("text_key").to_pylist(), _texts(hit), strict=True):
+                if i is not None and (i, k) not in seen:
+                    seen.add((i, k))
+                    rows.append((i, k, shingles(t, width).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "text_key", "shingles"])
 
-    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(thin), "node long, shingles binary")
-    return some.join(nodes, "node", "left_semi")
+    some = _keyed(docs).mapInArrow(tidy(thin), "doc_id long, text_key long, shingles binary")
+    return some.join(nodes, ["doc_id", "text_key"]).select("node", "shingles")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets have 100 * intersection >= percent * union."""
-    side = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-    sized = (F.length("sa") * 100 >= F.length("sb") * percent) & (F.length("sb") * 100 >= F.length("sa") * percent)
-    joined = pairs.join(side[0], "a").join(side[1], "b").where(sized)
+    """The pairs whose sets have 100 * intersection >= percent * union.
+
+    A set meets up to PARTNERS others in one place, where it is sent once,
+    before them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"))
+    other = dealt.join(sets, "node").select("a", "part", F.col("node").alias("b"), "shingles")
+    own = parts.withColumnRenamed("a", "node").join(sets, "node")
+    own = own.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = own.unionByName(other).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def check(batches):
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                y = np.frombuffer(s, np.uint64)
+                if b is None:
+                    x = y
+                elif 100 * len(x) >= percent * len(y) and 100 * len(y) >= percent * len(x):
+                    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long").distinct()
+    return together.mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 # --------------------------------------------------------------- components
@@ -266,20 +292,16 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ operator
-def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the component), kept.
-
-    A row for each row of docs.  Words are what white space (ASCII) separates,
-    A-Z lower-cased.  Texts without words, or null, have an empty set and are
-    linked with nothing.  Rows that share a doc_id are one document.  A null
-    doc_id is linked with nothing and kept; its component_id is null.
-    """
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and group (null: linked with nothing) of every row."""
     small_batches(docs.sparkSession)
     least = percent / 100
     signed = materialize(signatures(docs, width), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    per_set = materialize(full.groupBy("high", "low").agg(F.min("doc_id").alias("node")), "classes")
-    classes = full.join(per_set, ["high", "low"]).where("doc_id = node").dropDuplicates(["high", "low"])
+    # A node's number has no meaning; the written table fixes it.
+    per_set = full.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).withColumn("node", F.monotonically_increasing_id())
+    per_set = materialize(per_set.select("high", "low", "node", "first.doc_id", "first.text_key"), "classes")
+    classes = full.join(per_set, ["high", "low", "doc_id", "text_key"]).dropDuplicates(["high", "low"])
     classes = materialize(classes.select("node", "small", "large", "small_keys", "large_keys"), "class-sketches")
     registers = classes.where("small is not null").select("node", F.lit(0).alias("zone"), F.col("small").alias("registers"))
     registers = registers.unionByName(classes.where("large is not null").select("node", F.lit(1).alias("zone"), F.col("large").alias("registers")))
@@ -287,22 +309,68 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, width: int = WID
 
     star = members.where("node <> hub").select("zone", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(_estimated(star, registers, least), "pairs")
-    labels, tested = None, None
+    labels, tested, spent = None, None, [classes, members]
     for most in (None, *NEAREST):
         if most is not None:
             pairs = _nearest(_blocks(members, labels, registers), least, most)
             pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        spent.append(pairs)
         if pairs.isEmpty():
             if most is None:
-                labels, tested = materialize(full.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0), "labels"), pairs
+                labels, tested = materialize(per_set.select("node", F.col("node").alias("label")).limit(0), "labels"), pairs
             continue
-        nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = materialize(nodes.join(per_set, "node").select("node", "doc_id", "text_key"), "nodes")
         sets = materialize(_sets(docs, nodes, width), "sets")
         links = materialize(_confirmed(pairs, sets, percent), "links")
-        drop(sets)
         labels = components(links, labels)
+        for done in (nodes, sets, links):
+            drop(done)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    named = per_set.join(labels, "node", "left").select("high", "low", F.coalesce("label", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "high", "low").join(named, ["high", "low"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = per_set.join(labels, "node", "left").select("high", "low", "doc_id", F.coalesce("label", "node").alias("group"))
+    least_id = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(named.drop("doc_id").join(least_id, "group"), "named-classes")
+    for done in spent:
+        drop(done)
+    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("high")).alias("high"), "low").join(named, ["high", "low"], "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the component), kept.
+
+    A row for each row of docs.  Words are what white space (ASCII) separates,
+    A-Z lower-cased.  Texts without words, or null, have an empty set and are
+    linked with nothing.  Rows that share a doc_id but not the text are
+    documents of their own, each with its own component; `kept` tells whether
+    the doc_id names the component (keep_one() settles which of several such
+    rows stays).  A null doc_id is linked with nothing and kept; its
+    component_id is null.
+    """
+    out = _grouped(docs, percent, width).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each component: the least doc_id, then the least hash of its text.
+
+    Of rows equal in doc_id and text one stays.  Rows without a doc_id, and
+    texts without words, are linked with nothing and stay.
+    """
+    docs, given = set_aside(docs, ("doc_id", "text"))
+    rows = _grouped(docs, percent, width).where("doc_id is not null").select("doc_id", "text_key", "group")
+    rows = materialize(rows, "groups")
+    document = F.struct("doc_id", "text_key")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(document).alias("first"))
+    gone = materialize(rows.join(first, "group").where(document != F.col("first")).select("doc_id", "text_key").distinct(), "near-copies")
+    twice = materialize(rows.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "repeated-rows")
+    drop(rows)
+    names = docs.columns
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("string"))})
+    own = ["_id", "_key"]
+    kept = keyed.join(gone.toDF(*own), own, "left_anti")
+    if not twice.isEmpty():
+        twice = twice.toDF(*own)
+        once = kept.join(twice, own, "left_anti")
+        kept = once.unionByName(kept.join(twice, own, "left_semi").dropDuplicates(own))
+    return put_back(kept.select(*names), given)
