@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .scratch import small_batches, tidy
+from .scratch import put_back, set_aside, small_batches, tidy
 
 WINDOW = 8
 SHARD_WORDS = 1 << 19
-SLICE_ITEMS = 20_000  # benchmark items searched (and broadcast) at a time
-SLICE_CHARS = 40_000_000
+# A slice of the benchmark is one broadcast; a scan searches several slices in one index of each shard.
+SLICE_ITEMS = 20_000
+SLICE_CHARS = 5_000_000
+SCAN_SLICES = 8
 _END, _GAP, _OTHER = 0, 1, 2
 
 # Bytes of words: 0-9, letters (lower-cased), all bytes of other characters.
@@ -41,13 +44,16 @@ def word_spans(text: bytes) -> np.ndarray:
 
 
 class Phrases:
-    """The windows of benchmark items over a small alphabet of their words."""
+    """The windows of benchmark items over a small alphabet of their words.
 
-    def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
-        self.symbols: dict[bytes, int] = {}
+    `symbols` may be shared by several slices, so that one index serves all.
+    """
+
+    def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW, symbols: dict[bytes, int] | None = None):
+        symbols = {} if symbols is None else symbols
         by_length: dict[int, dict[tuple, set]] = {}
         for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 3) for w in words(text)]
+            ids = [symbols.setdefault(w, len(symbols) + 3) for w in words(text)]
             if ids:
                 n = min(window, len(ids))
                 held = by_length.setdefault(n, {})
@@ -68,25 +74,26 @@ class _Shard:
         self.parts += [ids, np.array([_GAP], dtype=np.int64)]
         self.n += len(ids) + 1
 
-    def search(self, phrases: Phrases) -> Iterator[tuple]:
+    def search(self, slices: list[Phrases]) -> Iterator[tuple]:
         """(row, words, hit word flags or None, items found) of each document."""
         text = np.concatenate([*self.parts, np.array([_END], dtype=np.int64)])
         starts = np.array([s for _, s, _ in self.rows], dtype=np.int64)
         delta = np.zeros(len(text) + 1, dtype=np.int32)
         found: dict[int, set] = {}
         index = FMIndex(text)
-        for n, patterns in phrases.patterns.items():
-            first, last = index.ranges(patterns)
-            which = np.flatnonzero(last > first)
-            size = last[which] - first[which]
-            rows = np.repeat(first[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            at = index.locate(rows)
-            np.add.at(delta, at, 1)
-            np.add.at(delta, at + n, -1)
-            doc = np.searchsorted(starts, at, side="right") - 1
-            pairs = np.unique(np.stack([doc, np.repeat(which, size)]), axis=1)
-            for d, p in pairs.T.tolist():
-                found.setdefault(d, set()).update(phrases.items[n][p])
+        for phrases in slices:
+            for n, patterns in phrases.patterns.items():
+                first, last = index.ranges(patterns)
+                which = np.flatnonzero(last > first)
+                size = last[which] - first[which]
+                rows = np.repeat(first[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                at = index.locate(rows)
+                np.add.at(delta, at, 1)
+                np.add.at(delta, at + n, -1)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                pairs = np.unique(np.stack([doc, np.repeat(which, size)]), axis=1)
+                for d, p in pairs.T.tolist():
+                    found.setdefault(d, set()).update(phrases.items[n][p])
         hit = np.cumsum(delta)[:-1] > 0
         for d, (row, s, n) in enumerate(self.rows):
             yield row, n, hit[s : s + n] if d in found else None, found.get(d, ())
@@ -106,31 +113,38 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes | None]]]
         yield part
 
 
-def _scan(docs: DataFrame, phrases, window: int) -> DataFrame:
-    """docs with _n_words, _spans (hit words as [start, end) in words and bytes), _items."""
-    given = docs.schema.names
-    schema = docs.limit(0).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<a:bigint,b:bigint,from:bigint,to:bigint>>"), "_items": F.lit(None).cast("array<string>")}).schema
+_FOUND = {"_n_words": "long", "_spans": "array<struct<a:bigint,b:bigint,from:bigint,to:bigint>>", "_items": "array<string>"}
+
+
+def _scan(docs: DataFrame, symbols, slices: list) -> DataFrame:
+    """docs with _n_words, _spans (hit words as [start, end) in words and bytes), _items; those of an earlier scan are added to."""
+    given = [c for c in docs.columns if c not in _FOUND]
+    schema = docs.select(*given, *[F.lit(None).cast(t).alias(c) for c, t in _FOUND.items()]).limit(0).schema
     span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))
 
     def search(batches):
-        held: Phrases = phrases.value
-        known = held.symbols
+        held = [x.value for x in slices]
+        known = symbols.value
 
         def flush(shard: _Shard, columns: list[pa.RecordBatch]):
             n, spans, items = [], [], []
-            for text, n_words, hit, found in shard.search(held):
+            rows = zip(shard.search(held), (r for b in columns for r in _before(b)), strict=True)
+            for (text, n_words, hit, found), (old_spans, old_items) in rows:
                 n.append(n_words)
-                items.append(sorted(map(str, found)))
+                items.append(sorted({*map(str, found), *old_items}))
                 if hit is None:
-                    spans.append([])
+                    spans.append(old_spans)
                     continue
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2)
+                hit = hit.astype(np.int8)
+                for s in old_spans:
+                    hit[s["a"] : s["b"]] = 1
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).reshape(-1, 2)
                 at = word_spans(text)
                 spans.append([{"a": a, "b": b, "from": int(at[a, 0]), "to": int(at[b - 1, 1])} for a, b in edge.tolist()])
             extra = [pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
             k = 0
             for batch in columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(x.slice(k, batch.num_rows) for x in extra)], names=[*given, "_n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), *(x.slice(k, batch.num_rows) for x in extra)], names=[*given, *_FOUND])
                 k += batch.num_rows
 
         shard, columns = _Shard(), []
@@ -148,45 +162,41 @@ def _scan(docs: DataFrame, phrases, window: int) -> DataFrame:
     return docs.mapInArrow(tidy(search), schema)
 
 
+def _before(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """Spans and items that an earlier scan found."""
+    if "_spans" not in batch.schema.names:
+        return (([], []) for _ in range(batch.num_rows))
+    return zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, spans (bytes of the UTF-8 text to remove), item_ids (as strings, sorted).
 
     Null and empty texts have no words.  Items without words are never found;
     an item of fewer words than the window is one window.  Repeated rows are
-    rows of their own.  Input columns with the names of result columns are
-    replaced.  An empty benchmark finds nothing.
+    rows of their own.  Input columns n_words, n_hit, spans and item_ids are
+    replaced, all others kept, whatever their names.  An empty benchmark finds
+    nothing.  The index of a shard is built once for SCAN_SLICES slices of the
+    benchmark (which bounds what a task holds of it).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_words", "n_hit", "spans", "item_ids", "_n_words", "_spans", "_items")
-    out = None
-    for part in _slices(benchmark):
-        phrases = spark.sparkContext.broadcast(Phrases(part, window))
-        if out is None:
-            out = _scan(docs, phrases, window)
-        else:  # the next part of a large benchmark adds to what is found so far
-            more = _scan(out.withColumnsRenamed({"_n_words": "_n0", "_spans": "_s0", "_items": "_i0"}), phrases, window)
-            out = more.withColumns({"_spans": F.concat("_s0", "_spans"), "_items": F.array_union("_i0", "_items")}).drop("_n0", "_s0", "_i0")
-    if out is None:
-        out = _scan(docs, spark.sparkContext.broadcast(Phrases([], window)), window)
-    merged = F.aggregate(F.array_sort("_spans"), F.expr("CAST(array() AS array<struct<a:bigint,b:bigint,from:bigint,to:bigint>>)"), _merge)
-    out = out.withColumn("_spans", F.when(F.size("_spans") > 0, merged).otherwise(F.col("_spans")))
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    return out.select(
-        *docs.columns,
+    docs, given = set_aside(docs, ("doc_id", "text"), ("n_words", "n_hit", "spans", "item_ids"))
+    names, out, slices = docs.columns, None, _slices(benchmark)
+    while True:
+        symbols: dict[bytes, int] = {}
+        held = [spark.sparkContext.broadcast(Phrases(part, window, symbols)) for part in islice(slices, SCAN_SLICES)]
+        if out is not None and not held:
+            break
+        out = _scan(docs if out is None else out, spark.sparkContext.broadcast(symbols), held)
+    out = out.select(
+        *names,
         F.col("_n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
+        F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]).alias("n_hit"),
         F.transform("_spans", lambda s: F.struct(s["from"], s["to"])).alias("spans"),
-        F.array_sort("_items").alias("item_ids"),
+        F.col("_items").alias("item_ids"),
     )
-
-
-def _merge(spans, s):
-    """Add a span to sorted ones, joined to the last where they touch or overlap."""
-    last = F.element_at(spans, -1)
-    joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"), last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))
-    kept = F.slice(spans, 1, F.size(spans) - 1)
-    return F.when((F.size(spans) > 0) & (last["b"] >= s["a"]), F.concat(kept, F.array(joined))).otherwise(F.concat(spans, F.array(s)))
+    return put_back(out, given)
 
 
 def digest(found: DataFrame) -> DataFrame:
