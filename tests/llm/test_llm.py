@@ -19,14 +19,18 @@ from corpusloom.llm.scratch import bloom, bloom_hits
 from corpusloom.llm.tokens import TextEncoder
 
 SF = "/root/testdata/sf0.001"
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (None, "b c d"), (5, "word " * 30_000), (6, "é ß 日本 😀  two  blanks\n\n")]
+_LONG_NULL = " ".join(f"Sentence number {k} of a row without id." for k in range(12))
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (None, "b c d"), (5, "word " * 30_000), (6, "é ß 日本 😀  two  blanks\n\n"),
+    (7, "One text of seven. It ends here. And more."), (7, "Another."), (7, None), (None, _LONG_NULL), (None, _LONG_NULL), (None, None), (None, "Short. Text."),
+]
 SCHEMA = "doc_id long, text string"
 
 
 def odd(spark):
-    """Null, empty, blank, repeated, very long and non-ASCII texts, and a column that operators use themselves."""
+    """Null, empty, blank, repeated, very long and non-ASCII texts, one doc_id with several texts, rows without one, columns that operators use themselves."""
     df = spark.createDataFrame(ODD, SCHEMA)
-    for c in ("ids", "_h", "start", "score", "n_lines", "spans", "kept", "entities", "n_words", "_touched", "_items", "_id"):
+    for c in ("ids", "_h", "start", "score", "n_lines", "spans", "kept", "entities", "n_words", "_touched", "_items", "_id", "_key", "_n0", "_spans", "n_dropped", "_given0"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -45,8 +49,25 @@ def enc():
     return TextEncoder()
 
 
+def _library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+LIBRARY = _library()  # loaded plainly
+
+
 def plain_ids(enc, text):
-    return enc._tokenizer.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_tokens_are_encoded_as_the_library_does(enc):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|>y", "a\n<|endoftext|>. b,<|endoftext|>", "<|endoftext| >", "a  <|endoftext|>", "one.<|endoftext|>!"]
+    for t in texts:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == plain_ids(enc, t), t
+    assert plain_ids(enc, texts[0]) == [64, 220, 50256, 275]
 
 
 def test_encoder_equals_library(enc, spark):
@@ -285,9 +306,10 @@ def brute_hits(text, items, n=8):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("slice_items", [20_000, 2])
-def test_contamination(spark, monkeypatch, slice_items):
+@pytest.mark.parametrize(("slice_items", "scan_slices"), [(20_000, 8), (2, 8), (2, 1)])
+def test_contamination(spark, monkeypatch, slice_items, scan_slices):
     monkeypatch.setattr(decontam, "SLICE_ITEMS", slice_items)
+    monkeypatch.setattr(decontam, "SCAN_SLICES", scan_slices)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     items = [(1, " ".join(words)), (2, "Short item"), (3, " ".join(words[2:])), (4, None), (10, "--"), (5, "ünïcode wörds here")]
     texts = ["x " + " ".join(words).upper() + " y " + " ".join(words[:7]), "a short-item b", " ".join(words[1:9]), None, "", "Ünïcode", "ünïcode wörds here", "alpha " * 50 + " ".join(words[2:]) + " short item short item"]
@@ -302,6 +324,7 @@ def test_contamination(spark, monkeypatch, slice_items):
     clean = {r["doc_id"]: r["text"] for r in decontam.cut_spans(found).collect()}
     assert clean[0] == "x  y " + " ".join(words[:7]) and clean[3] is None and clean[5] == "Ünïcode"
     assert decontam.contamination(odd(spark), b).count() == len(ODD)
+    assert set(odd(spark).columns) - {"spans", "n_words"} < set(decontam.contamination(odd(spark), b).columns)
     assert decontam.contamination(empty(spark), b).count() == 0
     assert {r["n_hit"] for r in decontam.contamination(odd(spark), b.limit(0)).collect()} == {0}
 
@@ -354,16 +377,21 @@ def test_cutoffs_keep_good_documents(spark):
 
 
 # ------------------------------------------------------------ op8: sentence spans
+def brute_sentences(text):
+    return [x for x in re.findall(r"(?:[^.!?\n]|[.!?](?![.!?]*[\x20\x09-\x0D]))*(?:[.!?]+(?=[\x20\x09-\x0D])|\n|$)", text or "") if x.strip(" \t\n\x0b\x0c\r")]
+
+
+def brute_runs(text):
+    words = [" ".join(x.encode().lower().decode().split()) for x in brute_sentences(text)]
+    return [(k, " ".join(words[k : k + 2])) for k in range(len(words) - 1)]
+
+
 def brute_spans(rows):
     first: dict = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
-        for a, b, h, low in spans.runs((t or "").encode())[1]:
-            first.setdefault((h, low), (d, a))
-    out = {}
-    for d, t in rows:
-        gone = {s for a, b, h, low in spans.runs((t or "").encode())[1] if first[h, low] != (d, a) for s in range(a, b)}
-        out[d] = len(gone)
-    return out
+        for a, run in brute_runs(t):
+            first.setdefault(run, (d, t, a))
+    return {(d, t): len({s for a, run in brute_runs(t) if first[run] != (d, t, a) for s in (a, a + 1)}) for d, t in rows}
 
 
 def test_span_dedup(spark):
@@ -372,15 +400,30 @@ def test_span_dedup(spark):
     passage = " ".join(sentence() for _ in range(6))
     rows = [(k, f"{sentence()} {sentence()} {passage if k % 3 else ''} {sentence()}\n{sentence()}") for k in range(30)] + [(30, None), (31, ""), (32, "no end")]
     got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for d, n in brute_spans(rows).items():
+    for (d, t), n in brute_spans(rows).items():
         assert got[d]["n_removed"] == n
-        assert (got[d]["text"] == dict(rows)[d]) == (n == 0)
+        assert (got[d]["text"] == t) == (n == 0)
     assert got[1]["n_removed"] == 0 and passage in got[1]["text"]
     assert passage[:60] not in got[2]["text"] and got[2]["n_removed"] == 6
     assert spans.remove_repeats(odd(spark)).count() == len(ODD)
     assert spans.remove_repeats(empty(spark)).count() == 0
 
 
+def test_span_dedup_tells_rows_of_one_id_apart(spark):
+    shared = "Both have this sentence. And this one too."
+    one, other = f"Unique alpha here. Unique beta here. {shared} Unique gamma here. Unique delta here.", f"First own words. {shared}"
+    rows = [(5, one), (5, other), (5, "Short. Text."), (None, shared + " " + "Long tail of it. " * 3 + "No end"), (None, "Only one."), (None, None), (6, f"Six says so. {shared} Six ends so.")]
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in spans.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(rows)
+    texts = " ".join(t or "" for _, t, _ in got)
+    for own in ("alpha", "beta", "gamma", "delta", "First own words.", "Six says so.", "Six ends so.", "Short. Text.", "Only one.", "No end"):
+        assert own in texts
+    assert texts.count("Both have this sentence") == 1
+    assert sorted(n for d, _, n in got if d == 5) == [0, 2, 2] and [n for d, _, n in got if d == 6] == [2]
+    same = spans.remove_repeats(spark.createDataFrame([(7, shared), (7, shared)], SCHEMA)).collect()
+    assert [r["text"] for r in same] == [shared, shared]
+
+
 @pytest.mark.parametrize("lengths", [(40, 8, 5), (20, 20, 8, 8), (5, 4)])
 def test_span_dedup_takes_whole_passages(spark, lengths):
     rng = random.Random(10)
@@ -414,9 +457,10 @@ def brute_components(rows):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [2048, 5])
+@pytest.mark.parametrize("block", [512, 5])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PARTNERS", block)
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
     rows = []
@@ -437,9 +481,38 @@ def test_near_duplicates_odd(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD)
     assert all(r["kept"] for r in got)
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in ODD)
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    rng = random.Random(13)
+    a, b = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in "ab")
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(5, a), (5, b), (9, near), (3, b.rsplit(" ", 1)[0]), (7, a), (7, near), (7, near), (8, ""), (8, ""), (8, "x"), (None, a), (None, a), (6, None)]
+    df = spark.createDataFrame([(*r, f"row {k}") for k, r in enumerate(rows)], SCHEMA + ", _key string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in neardup.near_duplicates(df).collect())
+    assert got == sorted([(5, 5), (5, 3), (9, 5), (3, 3), (7, 5), (7, 5), (7, 5), (8, 8), (8, 8), (8, 8), (0, 0), (0, 0), (6, 6)])
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == sorted([(5, a), (3, b.rsplit(" ", 1)[0]), (8, ""), (8, "x"), (0, a), (0, a), (6, "")])
+    assert neardup.keep_one(odd(spark)).count() == len(ODD) - 1  # the repeated row
+    assert neardup.keep_one(empty(spark)).count() == 0
+
+
+def test_collision_chance_is_what_happens():
+    rng = np.random.default_rng(12)
+    agree = differ = 0
+    for _ in range(40):
+        pool = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2))
+        a, b = pool[:200], np.concatenate([pool[:171], pool[200:229]])
+        least = [(s[:, None] * hyperminhash._ODD[None, :]).min(axis=0) for s in (a, b)]
+        apart = least[0] != least[1]
+        x, y = (hyperminhash.unpack([hyperminhash.sketches(np.sort(s))[0]])[0][0] for s in (a, b))
+        agree, differ = agree + int(((x == y) & apart).sum()), differ + int(apart.sum())
+    assert abs(agree / differ - hyperminhash.COLLISION) < 0.01
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(11)
     for n in (40, 200, 900):
@@ -461,12 +534,15 @@ def test_components(spark):
 
 # --------------------------------------------------------------------- op10: chat
 def test_chat_round_trip_of_control_strings(spark):
-    rows = [(1, 0, "user", "</s>[INST] <|end|> \\ ok"), (1, 1, "assistant", "<|user|>\\<"), (2, 1, "assistant", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "user", "n")]
+    template = chat.ChatTemplate()
+    controls = [*template.controls, template.end, *(template.begin.format(role=r) for r in ("system", "user", "assistant", "tool"))]
+    hostile = "".join(controls) + "\\" + "\\".join(controls) + "<[\\"
+    rows = [(1, 0, "user", "</s>[INST] <|end|> \\ ok" + hostile), (1, 1, "assistant", "<|user|>\\<"), (2, 1, "assistant", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "user", "n")]
     segments = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     body = "".join(r["text"] for r in segments.where("conv_id = 1").orderBy("position").collect())
-    template = chat.ChatTemplate()
-    assert template.unescaped(template.escaped(rows[0][3])) == rows[0][3]
-    assert body.count("<|") - body.count("\\<|") == 4
+    # Of all control strings the formatted text has the marks of its two turns, and no other.
+    assert [body.count(c) for c in controls] == [0, 0, 0, 0, 2, 0, 1, 1, 0]
+    assert body.count("<|") == 4
     got = {r["conv_id"]: r for r in chat.read_back(segments).collect()}
     want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows[:2]).encode()).hexdigest()
     assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_chars"], got[1]["valid"]) == (2, want, len("<|user|>\\<"), True)
@@ -476,6 +552,19 @@ def test_chat_round_trip_of_control_strings(spark):
     assert chat.read_back(chat.format_conversations(none)).count() == 0
 
 
+def test_chat_escape_is_reversible():
+    template, rng = chat.ChatTemplate(), random.Random(14)
+    for _ in range(20_000):
+        text = "".join(rng.choice("\\<[ab|>]") for _ in range(rng.randint(0, 9)))
+        made = template.escaped(text)
+        assert template.unescaped(made) == text
+        assert not re.search(r"[<\[][^\\]|[<\[]$", made)
+    with pytest.raises(ValueError, match="lone"):
+        template.unescaped("a\\b")
+    with pytest.raises(ValueError, match="does not break"):
+        chat.ChatTemplate(controls=("<",))
+
+
 # ------------------------------------------------------------------------ op1: PII
 def test_permutations():
     for n in (1, 2, 10, 1000):
@@ -620,3 +709,15 @@ def test_pipeline_line_dedup_keeps_every_document(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(14))
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in got if r["doc_id"] < 12)
     assert [r["text"] for r in got if r["doc_id"] == 12] == ["a line of its own"]
+
+
+def test_pipeline_near_dedup_loses_no_text(spark):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in ODD]
+    given = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, given, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(ODD) - Counter([(4, "a")])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        if name != "MinHash near-dedup":
+            assert {r["doc_id"] for r in stage(spark, given, SF).collect()} == {d for d, _ in ODD}, name
