@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for its personal data."""
+    """Every document with surrogates for its personal data.
+
+    The key is the setting spark.corpusloom.pii.key; where it is unset, as in
+    tests, a demonstration key that keeps nothing secret.
+    """
     from .pii import replace_entities
 
-    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.corpusloom.pii.key", "demonstration").encode()
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
