@@ -2,10 +2,11 @@
 
 Pieces are dealt evenly over partitions, and each is packed by best-fit
 decreasing on its own.  Dual-feasible functions bound from below the sequences
-that its pieces, and all pieces together, can need.  While the sum of
-sequences is above that bound, partitions give the pieces of their open
-sequences away: these are dealt anew to fewer partitions and packed again,
-and the new packing is kept where it takes fewer sequences.
+that its pieces can need, which certifies its count.  Partitions whose count
+is above their bound give the pieces of their open sequences away: these are
+dealt among as many groups as hold them, all packed again at the same time,
+and the new packing is kept if it takes fewer sequences.  It ends when every
+partition is certified, or all together are.
 """
 
 from __future__ import annotations
@@ -154,26 +155,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
     n, needed = int(histogram.sum()), lower_bound(histogram, capacity)
     packed = materialize(_packed(cut, max(1, -(-n // per_partition)), 0, capacity), "packed")
     drop(cut)
+    # Every sequence has one piece at offset 0.
+    gap = (F.col("sequences") > F.col("bound")) & (F.col("free") > 0)
+    first, home = F.col("offset") == 0, F.shiftright("sequence_id", 32)
     for turn in range(1, rounds + 1):
-        per = {r["free"]: (r["sequences"], r["pieces"]) for r in packed.groupBy("free").agg(F.countDistinct("sequence_id").alias("sequences"), F.count("*").alias("pieces")).collect()}  # at most capacity rows
-        used = sum(s for s, _ in per.values())
-        if used <= needed:
+        r = packed.agg(F.count_if(first).alias("used"), F.count_if(gap & first).alias("open"), F.count_if(gap).alias("pieces"), F.countDistinct(F.when(gap, home)).alias("homes")).first()
+        if r["used"] <= needed or r["homes"] < 2:
             break
-        # The open sequences, from the emptiest, until one task's pieces are reached.
-        pool, held, least = 0, 0, capacity
-        for f in sorted((f for f in per if f), reverse=True):
-            if pool and pool + per[f][1] > per_partition * turn:
-                break
-            pool, held, least = pool + per[f][1], held + per[f][0], f
-        if held < 2:
-            break
-        given = packed.where(F.col("free") >= least).select("doc_id", "piece", "start", "length", "ids_crc32")
-        again = materialize(_packed(given, max(1, -(-pool // per_partition)), turn, capacity), "packed")
-        taken = again.select("sequence_id").distinct().count()
-        if taken >= held:
+        given = packed.where(gap).select("doc_id", "piece", "start", "length", "ids_crc32")
+        again = materialize(_packed(given, max(1, -(-r["pieces"] // per_partition)), turn, capacity), "packed")
+        if again.where(first).count() >= r["open"]:
             drop(again)
             break
-        packed = packed.where(F.col("free") < least).unionByName(again)
+        packed = packed.where(~gap).unionByName(again)
     return packed
 
 
