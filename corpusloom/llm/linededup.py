@@ -7,9 +7,10 @@ at least min_docs documents).  insert() and delete() change counts by +1 and
 a document away undoes what adding it did.
 
 apply() drops the lines with blocked keys.  Filters settle nearly all lines;
-the few that pass are confirmed against the exact counts.  Beyond
-MAX_BROADCAST_KEYS blocked keys it joins all lines with the exact keys and
-probes no filter.
+the few that pass are confirmed against the exact keys.  Up to
+MAX_BROADCAST_KEYS blocked keys, filters and keys go to every task; beyond
+that, line keys that a bitmap of bounded size lets pass are dealt to the
+filter of their shard, and what passes it to the exact keys.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .scratch import bloom, bloom_hits, materialize, small_batches, tidy
+from .scratch import bloom, bloom_hits, materialize, put_back, set_aside, small_batches, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
-MAX_BROADCAST_KEYS = 1_000_000  # blocked keys: 16 MB exact, 2.5 MB of filters
+MAX_BROADCAST_KEYS = 1_000_000  # blocked keys: two arrays of 8 MB, and 2.5 to 5 MB of filters
+PARTS = 8  # tasks that probe one shard's filter
 COUNTS = "high long, low long, n_docs long"
 _M64 = (1 << 64) - 1
 
@@ -147,34 +149,31 @@ class LineIndex:
         """docs with text cut, and n_lines, n_dropped (long).
 
         While the blocked keys are at most broadcast_keys, filters and exact
-        keys go to every task and nothing is shuffled.  Beyond that, lines
-        meet the exact keys in a join, and the texts of the documents that
-        lose lines are dealt by row number.
+        keys go to every task and nothing is shuffled.  Beyond that, line keys
+        are dealt to the filters, and the texts of the documents that lose
+        lines by their hash.
         A null text is one empty line and stays null; an empty table gives an
         empty result; a repeated row counts as a document of its own.  Input
-        columns n_lines and n_dropped are replaced; _h, _touched and _blocked
-        are names of this method and left out.
+        columns n_lines and n_dropped are replaced, all others kept.
         """
         small_batches(self.spark)
-        docs = docs.drop("n_lines", "n_dropped", "_h", "_touched", "_blocked")
-        return self._apply_here(docs) if self.n_blocked <= broadcast_keys else self._apply_joined(docs)
+        docs, given = set_aside(docs, ("doc_id", "text"), ("n_lines", "n_dropped"))
+        return put_back(self._apply_here(docs) if self.n_blocked <= broadcast_keys else self._apply_dealt(docs), given)
 
     def _apply_here(self, docs: DataFrame) -> DataFrame:
         filters = {r["shard"]: r["filter"] for r in self.filters.collect()}
-        exact = {}
-        for b in self.blocked.toLocalIterator():
-            exact.setdefault(b["high"], []).append(b["low"])
-        held = self.spark.sparkContext.broadcast((filters, exact))
+        exact = self.blocked.orderBy("high").toArrow()
+        held = self.spark.sparkContext.broadcast((filters, exact.column("high").to_numpy(), exact.column("low").to_numpy()))
         least, shards = self.least, self.shards
 
         def cut(batches):
-            raw, exact = held.value
+            raw, high, low = held.value
             filters = {s: CuckooFilter.from_bytes(f) for s, f in raw.items()}
             for batch in batches:
                 texts = _texts(batch)
                 lines = [t.split(b"\n") for t in texts]
                 keys = set().union(*(_keys(t, least) for t in texts))
-                blocked = _blocked(list(keys), filters, exact, shards)
+                blocked = _blocked(list(keys), filters, high, low, shards)
                 out, n, dropped = [], [], []
                 for text, one in zip(batch.column("text").to_pylist(), lines, strict=True):
                     stay = [x for x in one if line_key(x, least) not in blocked] if blocked else one
@@ -185,7 +184,37 @@ class LineIndex:
 
         return docs.mapInArrow(tidy(cut), _schema(docs))
 
-    def _apply_joined(self, docs: DataFrame) -> DataFrame:
+    def _passing(self, lines: DataFrame) -> DataFrame:
+        """The rows (h, high, low) whose key the filter of its shard may have."""
+        held = self.spark.sparkContext.broadcast(bloom(self.blocked, "low", self.n_blocked))
+
+        def thin(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(bloom_hits(held.value, batch.column("low").to_numpy())))
+
+        near = self._sharded(lines.mapInArrow(tidy(thin), lines.schema)).withColumns({"part": F.pmod(F.xxhash64("h", "low"), F.lit(PARTS)).cast("int"), "filter": F.lit(None).cast("binary")})
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "filter", *[F.lit(None).cast("long").alias(c) for c in ("h", "high", "low")])
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        both = near.unionByName(filters).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+
+        def probe(batches):
+            f, at = None, None
+            for batch in batches:
+                shard, raw = batch.column("shard").to_numpy(), batch.column("filter")
+                edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    rows = batch.slice(a, b - a)
+                    while rows.num_rows and rows.column("filter")[0].is_valid:  # one for each part that is here
+                        f, at = CuckooFilter.from_bytes(rows.column("filter")[0].as_py()), shard[a]
+                        k = next((i for i in range(1, rows.num_rows) if rows.column("filter")[i].is_valid), rows.num_rows)
+                        yield from _probed(rows.slice(1, k - 1), f)
+                        rows = rows.slice(k)
+                    if rows.num_rows and at == shard[a]:
+                        yield from _probed(rows, f)
+
+        return both.mapInArrow(tidy(probe), "h long, high long, low long")
+
+    def _apply_dealt(self, docs: DataFrame) -> DataFrame:
         least = self.least
         key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
@@ -196,7 +225,8 @@ class LineIndex:
                     a = np.array(rows, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(a[:, j]) for j in range(3)], names=["h", "high", "low"])
 
-        hit = docs.select("text", key).mapInArrow(tidy(lines), "h long, high long, low long").join(self.blocked, ["high", "low"])
+        every = docs.select("text", key).mapInArrow(tidy(lines), "h long, high long, low long")
+        hit = self._passing(every).join(self.blocked, ["high", "low"])
         hit = materialize(hit, "dropped-lines")  # h: of the text, so that equal texts share their decisions
         per = hit.select("h").distinct()
         bitmap = self.spark.sparkContext.broadcast(bloom(per, "h", per.count()))
@@ -232,8 +262,15 @@ def _built(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [f.to_bytes()]})
 
 
-def _blocked(keys: list[bytes], filters: dict[int, CuckooFilter], exact: dict[int, list[int]], shards: int) -> set[bytes]:
-    """Keys that the filter of their shard may have and the exact table has."""
+def _probed(rows: pa.RecordBatch, f: CuckooFilter):
+    """h, high, low of the rows that the filter may have."""
+    if rows.num_rows:
+        found = f.may_have(rows.column("high").to_numpy(), rows.column("low").to_numpy())
+        yield rows.select(["h", "high", "low"]).filter(pa.array(found))
+
+
+def _blocked(keys: list[bytes], filters: dict[int, CuckooFilter], high: np.ndarray, low: np.ndarray, shards: int) -> set[bytes]:
+    """Keys that the filter of their shard may have and the exact keys (sorted by high) have."""
     if not keys or not filters:
         return set()
     hashed = np.array([_hashed(k) for k in keys], dtype=np.int64)
@@ -242,7 +279,8 @@ def _blocked(keys: list[bytes], filters: dict[int, CuckooFilter], exact: dict[in
     for s, f in filters.items():
         at = np.flatnonzero(shard == s)
         passed = at[f.may_have(hashed[at, 0], hashed[at, 1])]
-        out |= {keys[i] for i in passed.tolist() if int(hashed[i, 1]) in exact.get(int(hashed[i, 0]), ())}
+        first, end = np.searchsorted(high, hashed[passed, 0]), np.searchsorted(high, hashed[passed, 0], side="right")
+        out |= {keys[i] for i, a, b in zip(passed.tolist(), first.tolist(), end.tolist(), strict=True) if (low[a:b] == hashed[i, 1]).any()}
     return out
 
 
