@@ -111,6 +111,27 @@ def test_pack_pieces(spark, enc):
     assert all(r["sequences"] >= r["bound"] for r in rows)
 
 
+def test_partitions_with_gaps_exchange(spark):
+    rng = random.Random(16)
+    rows = [(k, 0, 0, rng.choice((1500, 700, 530, 410, 300, 1040, 1000, 2048)), k) for k in range(600)]
+    cut = spark.createDataFrame(rows, packing.PIECES)
+    counts = {}
+    for rounds in (0, 4):
+        got = packing.pack(cut, per_partition=20, rounds=rounds).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((r[0], r[3]) for r in rows)
+        for _, g in itertools.groupby(sorted(got, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+            at = 0
+            for p in g:
+                assert p["offset"] == at
+                at += p["length"]
+            assert at <= 2048
+        counts[rounds] = len({r["sequence_id"] for r in got})
+    bound = packing.lower_bound(np.bincount([r[3] for r in rows], minlength=2049), 2048)
+    assert bound <= counts[4] < counts[0]
+    # All partitions with a gap take part, not as many as one task holds.
+    assert len({r["sequence_id"] >> 32 for r in got if r["sequence_id"] >> 56}) > 1
+
+
 def _check_packing(rows, ids):
     by_doc: dict = {}
     for r in rows:
@@ -247,8 +268,9 @@ def brute_lines(rows, least):
     return [(d, "\n".join(x for x in (t or "").split("\n") if not (key(x) and counts[key(x)] >= least))) for d, t in rows]
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
-def test_line_dedup_both_ways(spark, most):
+@pytest.mark.parametrize(("most", "shard_keys"), [(1_000_000, 500_000), (0, 500_000), (1_000_000, 1), (0, 1)])
+def test_line_dedup_both_ways(spark, monkeypatch, most, shard_keys):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
     rows = [(k, "\n".join([" HEAD ", f"own {k}", "tail" if k % 2 else "other", "É" if k % 3 else "é"])) for k in range(40)] + [(40, None), (41, ""), (42, "\n\n")]
     df = spark.createDataFrame(rows, SCHEMA)
     index = linededup.LineIndex.of(df, min_docs=10)
@@ -256,10 +278,26 @@ def test_line_dedup_both_ways(spark, most):
     for d, want in brute_lines(rows, 10):
         assert (got[d]["text"] or "") == want
         assert got[d]["n_lines"] == len((dict(rows)[d] or "").split("\n"))
-    assert index.apply(odd(spark), most).count() == len(ODD)
+    lines = index.apply(odd(spark), most)
+    assert lines.count() == len(ODD) and set(lines.columns) - {"n_dropped"} == set(odd(spark).columns) - {"n_dropped"}
     assert index.apply(empty(spark), most).count() == 0
 
 
+def test_filters_decide_what_meets_the_exact_keys(spark, monkeypatch):
+    """On the large path no line that its shard's filter does not have is joined with the exact keys."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
+    rows = [(k, "\n".join([f"shared {k % 4}", f"also {k % 3}", f"own {k}"])) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = linededup.LineIndex.of(df, min_docs=10)
+    assert index.n_blocked == 7 and index.shards == 3
+    held = {r["shard"]: cuckoo.CuckooFilter.from_bytes(r["filter"]) for r in index.filters.collect()}
+    keys = [(d, *linededup._hashed(k)) for d, t in rows for k in linededup._keys(t.encode(), 1)]
+    monkeypatch.setattr(linededup, "bloom_hits", lambda bitmap, x: np.ones(len(x), dtype=bool))
+    got = index._passing(spark.createDataFrame(keys, "h long, high long, low long")).collect()
+    want = [(h, a, b) for h, a, b in keys if (f := held.get((a >> 40) % 3)) is not None and f.may_have(np.array([a]), np.array([b]))[0]]
+    assert sorted(map(tuple, got)) == sorted(want) and 120 <= len(want) < 130
+
+
 def test_line_dedup_is_reversible(spark):
     first = spark.createDataFrame([(k, f"common\nown {k}") for k in range(9)], SCHEMA)
     more = spark.createDataFrame([(100 + k, "common\nlate") for k in range(12)], SCHEMA)
