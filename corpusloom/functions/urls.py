@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,46 +54,58 @@ def _any_substring(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _resolved(segments: Column) -> Column:
     """Dot segments taken out: .. drops what came before it, . nothing."""
-    last = F.element_at(segments, -1)
-    inner = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
     empty = F.expr("CAST(array() AS array<string>)")
-    walked = F.aggregate(
-        inner,
-        empty,
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
-    )
-    walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    joined = F.array_join(walked, "/")
-    return F.when(joined == "", "/").when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    def walked(all_: Column) -> Column:
+        inner = F.filter(all_, lambda s, i: (s != "") | (i == 0) | (i == F.size(all_) - 1))
+        done = F.aggregate(
+            inner,
+            empty,
+            lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+        )
+        open_ = F.when(F.element_at(all_, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+        return F.array_join(F.concat(done, open_), "/")
+
+    joined = _bound(segments, walked)
+    return _bound(joined, lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j)))
 
 
 def resolve(url: Column, base: Column) -> Column:
     """An RFC 3986 reference against its base."""
-    root = F.concat(scheme(base), F.lit("://"), domain(base))
-    base_path = F.regexp_extract(base, _PARTS, 3)
-    url_path, tail = F.regexp_extract(url, _PARTS, 3), F.regexp_extract(url, r"(\?[^#]*)", 1)
-    base_dirs = F.split(base_path, "/")
-    base_dirs = F.when(F.element_at(base_dirs, -1) != "", F.slice(base_dirs, 1, F.greatest(F.size(base_dirs) - 1, F.lit(0)))).otherwise(base_dirs)
-    segments = F.when(url_path.startswith("/"), F.split(url_path, "/")).otherwise(F.concat(base_dirs, F.split(url_path, "/")))
-    return (
-        F.when(url == "", base)
-        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
-        .when(url.startswith("?"), F.concat(root, base_path, tail))
-        .otherwise(F.concat(root, _resolved(segments), tail))
-    )
+
+    def relative(u: Column) -> Column:
+        root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        base_path, tail = F.regexp_extract(base, _PARTS, 3), F.regexp_extract(u, r"(\?[^#]*)", 1)
+        # What of the base's path comes before its last segment.
+        joined = _bound(F.regexp_extract(u, _PARTS, 3), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.regexp_extract(base_path, "^(.*/)", 1), p)))
+        return F.when(u.startswith("?"), F.concat(root, base_path, tail)).otherwise(F.concat(root, _resolved(F.split(joined, "/")), tail))
+
+    return _bound(url, lambda u: F.when(u == "", base).when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), u).otherwise(relative(u)))
 
 
 def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Absolute URL without fragment, parameters and trailing slashes (the root keeps its slash)."""
+
+    def rebuilt(full: Column) -> Column:
+        p = _bound(path(full), lambda x: F.when(x == "/", x).otherwise(F.regexp_replace(x, "/+$", "")))
+        asked = F.regexp_extract(full, _PARTS, 4)
+        return F.concat(scheme(full), F.lit("://"), domain(full), p, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")))
+
+    def completed(cut: Column) -> Column:
+        full = F.when(F.regexp_extract(cut, _PARTS, 1) != "", cut).when(cut.startswith("//"), F.concat(F.lit("https:"), cut)).otherwise(F.concat(F.lit("https://"), cut))
+        return _bound(full, rebuilt)
+
     cut = F.regexp_replace(F.trim(F.regexp_replace(url, r"^[\s]+|[\s]+$", "")), "#[\\s\\S]*$", "")
-    if base is not None:
-        cut = F.when(base.isNull() | cut.rlike("^(http://|https://|//)"), cut).otherwise(resolve(cut, base))
-    full = F.when(F.regexp_extract(cut, _PARTS, 1) != "", cut).when(cut.startswith("//"), F.concat(F.lit("https:"), cut)).otherwise(F.concat(F.lit("https://"), cut))
-    p, q = path(full), query(full)
-    short = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
-    return F.concat(scheme(full), F.lit("://"), domain(full), short, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    if base is None:
+        return _bound(cut, completed)
+    return _bound(cut, lambda c: _bound(F.when(base.isNull() | c.rlike("^(http://|https://|//)"), c).otherwise(resolve(c, base)), completed))
 
 
 def is_valid_doc_url(url: Column) -> Column:
@@ -120,6 +134,10 @@ def prefilter(url: Column, root: Column, label_boundary: bool = True) -> Column:
     return same & ~F.lower(path(url)).rlike(_any_substring(SKIP_SUBSTRINGS))
 
 
+# Fixed value: the reason that the heuristic gives.
+REASON = "heuristic evaluation"
+
+
 def doc_like(url: Column, anchor: Column) -> Column:
     words = "|".join(DOC_WORDS)
     return F.lower(url).rlike(words) | F.lower(F.coalesce(anchor, F.lit(""))).rlike(words)
@@ -131,7 +149,7 @@ def link_score(url: Column, anchor: Column, is_navigation: Column) -> Column:
     return F.struct(
         (docs | ~is_navigation).alias("should_follow"),
         F.when(docs & ~is_navigation, F.lit(0.7)).otherwise(F.lit(0.4)).alias("priority"),
-        F.lit("heuristic evaluation").alias("reason"),
+        F.lit(REASON).alias("reason"),
     )
 
 

@@ -15,23 +15,30 @@ from ..functions.ids import generate_id
 from .store import top_per_group
 
 MAX_CONCEPTS = 1000  # concepts of a source that mentions are sought for
+SALTS = 16  # parts that the chunks of one source are dealt to
 
 
 _own: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (one of our own where it is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or (in local mode only, where it is unset) a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="corpusloom-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        where = f"file://{_own[0]}"
-    path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="corpusloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def extract_concepts(docs: DataFrame, text: str, source: str = "source", per_source: int = 50, least: int = 5, length: int = 4) -> DataFrame:
@@ -71,14 +78,18 @@ def mentions(chunks: DataFrame, concepts: DataFrame, key: str, text: str, confid
 
     Each source has at most `most` concepts, folded to one array a source,
     so a chunk meets its source's names in one equi-join and no pairs that
-    don't match are made.  whole_words matches tokens instead.
+    don't match are made; the array is there once for each of SALTS parts of a
+    source's chunks, so that a large source is not one task.  whole_words
+    matches tokens instead.
     """
     names = F.array(F.lower("name"))
     if "aliases" in concepts.columns:
         names = F.concat(names, F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)))
     top = top_per_group(concepts, "source_id", [F.desc("mention_count"), F.col("id")], most)
     per = top.groupBy("source_id").agg(F.collect_list(F.struct(F.col("id"), names.alias("names"))).alias("_known"))
-    joined = chunks.select(key, F.col("source").alias("source_id"), F.lower(text).alias("_text")).join(per, "source_id")
+    per = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = chunks.select(key, F.col("source").alias("source_id"), F.lower(text).alias("_text"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
+    joined = dealt.join(per, ["source_id", "_salt"])
     if whole_words:
         joined = joined.withColumn("_tokens", F.array_distinct(F.regexp_extract_all("_text", F.lit(T.TOKEN), 0)))
         found = F.filter("_known", lambda c: F.arrays_overlap(c["names"], F.col("_tokens")))
@@ -185,16 +196,25 @@ def source_stats(sources: DataFrame, pages: DataFrame, chunks: DataFrame, concep
     return out.select("source_id", "pages", "chunks", "concepts", "total_tokens")
 
 
-def rate_schedule(arrivals: DataFrame, group: str, at: Column, delay: float, tie: str) -> DataFrame:
+def rate_schedule(arrivals: DataFrame, group: str, at: Column, delay: float, tie: str, span: float | None = None) -> DataFrame:
     """start (seconds) of each request when a group's requests are at least `delay` apart.
 
     start_i = max(arrival_i, start_{i-1} + delay) in closed form: the running
-    maximum of arrival - i * delay, plus i * delay.
+    maximum of arrival - i * delay, plus i * delay.  A group is cut into
+    spans of arrival time (a thousand delays unless given), whose counts and maxima are carried over, so that
+    no window holds more than one span of one group.
     """
-    w = Window.partitionBy(group).orderBy("_at", tie)
-    rows = arrivals.withColumn("_at", at).withColumn("_i", F.row_number().over(w))
-    best = F.max(F.col("_at") - F.col("_i") * F.lit(delay)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("start", best + F.col("_i") * F.lit(delay)).drop("_i", "_at")
+    part, span = [group, "_span"], span or 1000 * delay or 1.0
+    rows = arrivals.withColumn("_at", at.cast("double")).withColumn("_span", F.floor(F.col("_at") / F.lit(span)))
+    before = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # over spans, not rows
+    counts = rows.groupBy(*part).agg(F.count("*").alias("_n")).withColumn("_past", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    here = Window.partitionBy(*part).orderBy("_at", tie)
+    rows = rows.join(counts, part).withColumn("_i", F.col("_past") + F.row_number().over(here))
+    rows = rows.withColumn("_v", F.col("_at") - F.col("_i") * F.lit(delay))
+    most = rows.groupBy(*part).agg(F.max("_v").alias("_m")).withColumn("_most", F.max("_m").over(before)).drop("_m")
+    running = F.max("_v").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_run", running).join(most, part)
+    return out.withColumn("start", F.greatest("_run", "_most") + F.col("_i") * F.lit(delay)).drop("_i", "_at", "_span", "_past", "_v", "_run", "_most")
 
 
 def crawl(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_pages: int | None = None, priority: str | None = None) -> DataFrame:
@@ -220,3 +240,34 @@ def crawl(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_pages: int
         if front.isEmpty():
             break
     return seen
+
+
+def crawl_best_first(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_pages: int = 500) -> DataFrame:
+    """id, depth, priority, visit (turn) of pages taken from one queue over all depths, the best first.
+
+    edges: src, dst, priority (higher first).  A turn takes all pages that
+    hold the best priority of the queue, least depth and id first, and queues
+    what they link to, so that turns are as many as priorities and depths
+    alternate, not as pages.  A page has the depth of its first visit.
+    """
+    empty = roots.select(F.col(roots.columns[0]).alias("id")).distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("priority"))
+    queue, seen, taken, turn = cut_lineage(empty), None, 0, 0
+    while taken < max_pages:
+        best = queue.agg(F.max("priority")).first()[0]
+        if best is None:
+            break
+        # An id may wait several times: it leaves with its least depth.
+        now = queue.where(F.col("priority") == best).groupBy("id").agg(F.min("depth").alias("depth"))
+        now = cut_lineage(now.orderBy("depth", "id").limit(max_pages - taken).select("id", "depth", F.lit(best).alias("priority"), F.lit(turn).alias("visit")))
+        seen = now if seen is None else cut_lineage(seen.unionByName(now))
+        taken, turn = seen.count(), turn + 1
+        open_ = now.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), (F.col("depth") + 1).alias("depth"))
+        fresh = open_.join(edges, "src").groupBy(F.col("dst").alias("id"), "depth").agg(F.max(F.col("priority").cast("double")).alias("priority"))
+        queue = cut_lineage(queue.unionByName(fresh).join(seen.select("id"), "id", "left_anti"))
+    return seen if seen is not None else empty.withColumn("visit", F.lit(0)).limit(0)
+
+
+def link_stats(page_links: DataFrame, mentioned: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: links between pages, from chunks to concepts, and between concepts."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(page_links, "page_links_created").crossJoin(n(mentioned, "chunk_concept_links")).crossJoin(n(relations, "concept_relations"))  # one row each

@@ -8,6 +8,7 @@ afterwards by native expressions.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -205,68 +206,114 @@ def content(root: Node) -> tuple[str, str]:
     return (aggressive, "aggressive_partial") if aggressive else ("", "none")
 
 
-def _context(anchor: Node, most: int = 200) -> str:
-    around = _clean("".join(anchor.parent.strings()))
-    if len(around) <= most:
-        return around
+def _context(anchor: Node, around: dict[int, str], most: int = 200) -> str:
+    """Text around an anchor; `around` holds the text of parents seen before."""
+    parent = anchor.parent
+    if id(parent) not in around:
+        around[id(parent)] = _clean("".join(parent.strings()))
+    text = around[id(parent)]
+    if len(text) <= most:
+        return text
     own = "".join(anchor.strings())
-    at = around.find(own)
-    return around[max(0, at - 50) : at + len(own) + 50] if at >= 0 else ""
-
-
-def describe(html: str | None) -> dict:
-    """All that a page gives, as one record."""
-    root = parse(html)
-    one = lambda tag: _first(root, lambda n: n.tag == tag)
-    text = lambda n: _clean("".join(n.strings())) if n is not None else ""
-    metas = [n for n in root.walk() if n.tag == "meta"]
-    named = lambda key, value: next((_clean(m.attrs["content"]) for m in metas if m.attrs.get(key) == value and m.attrs.get("content")), "")
-    tags = [{"pos": k, "key": key, "value": _clean(m.attrs["content"])} for k, m in enumerate(metas) if m.attrs.get("content") and (key := m.attrs.get("name") or m.attrs.get("property"))]
-    page = one("html")
-    spoken = page.attrs.get("lang", "") if page is not None else ""
-    spoken = spoken or next((m.attrs.get("content", "") for m in metas if m.attrs.get("http-equiv") == "content-language"), "")
-    body, method = content(root)
-    headings = [{"pos": k, "level": int(n.tag[1]), "text": t, "id": n.attrs.get("id", "")} for k, n in enumerate(root.walk()) if n.tag in _HEADINGS and (t := text(n))]
-    links = [
-        {"pos": k, "href": n.attrs["href"], "anchor_text": text(n)[:200], "title": n.attrs.get("title", "")[:200], "is_navigation": in_navigation(n), "context": _context(n)[:300]}
-        for k, n in enumerate(n for n in root.walk() if n.tag == "a" and n.attrs.get("href"))
-    ]
-    return {
-        "title": text(one("title")) or text(one("h1")) or named("property", "og:title"),
-        "description": named("name", "description") or named("property", "og:description"),
-        "language": spoken[:2].lower() or "en",
-        "content": body,
-        "extraction_method": method,
-        "all_text": all_text(root),
-        "aggressive_text": aggressive_text(root),
-        "headings": sorted(headings, key=lambda h: (h["level"], h["pos"])),
-        "links": links,
-        "metatags": tags,
-    }
-
-
-PARSED = (
-    "title string, description string, language string, content string, extraction_method string, all_text string, aggressive_text string,"
-    " headings array<struct<pos:int,level:int,text:string,id:string>>,"
-    " links array<struct<pos:int,href:string,anchor_text:string,title:string,is_navigation:boolean,context:string>>,"
-    " metatags array<struct<pos:int,key:string,value:string>>"
-)
-
-
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url and PARSED columns of every page (null html: an empty page)."""
+    at = text.find(own)
+    return text[max(0, at - 50) : at + len(own) + 50] if at >= 0 else ""
+
+
+def _text(node: Node | None) -> str:
+    return _clean("".join(node.strings())) if node is not None else ""
+
+
+class _Page:
+    """Outputs of one page; what several of them need is made once."""
+
+    def __init__(self, html: str | None):
+        self.root = parse(html)
+        self.nodes = list(self.root.walk())
+        self.metas = [n for n in self.nodes if n.tag == "meta"]
+
+    def one(self, tag: str) -> Node | None:
+        return next((n for n in self.nodes if n.tag == tag), None)
+
+    def named(self, key: str, value: str) -> str:
+        return next((_clean(m.attrs["content"]) for m in self.metas if m.attrs.get(key) == value and m.attrs.get("content")), "")
+
+    @cached_property
+    def body(self) -> tuple[str, str]:
+        return content(self.root)
+
+    def title(self) -> str:
+        return _text(self.one("title")) or _text(self.one("h1")) or self.named("property", "og:title")
+
+    def description(self) -> str:
+        return self.named("name", "description") or self.named("property", "og:description")
+
+    def language(self) -> str:
+        page = self.one("html")
+        spoken = page.attrs.get("lang", "") if page is not None else ""
+        spoken = spoken or next((m.attrs.get("content", "") for m in self.metas if m.attrs.get("http-equiv") == "content-language"), "")
+        return spoken[:2].lower() or "en"
+
+    def content(self) -> str:
+        return self.body[0]
+
+    def extraction_method(self) -> str:
+        return self.body[1]
+
+    def all_text(self) -> str:
+        return all_text(self.root)
+
+    def aggressive_text(self) -> str:
+        return aggressive_text(self.root)
+
+    def headings(self) -> list[dict]:
+        found = [{"pos": k, "level": int(n.tag[1]), "text": t, "id": n.attrs.get("id", "")} for k, n in enumerate(self.nodes) if n.tag in _HEADINGS and (t := _text(n))]
+        return sorted(found, key=lambda h: (h["level"], h["pos"]))
+
+    def links(self) -> list[dict]:
+        around: dict[int, str] = {}
+        anchors = [n for n in self.nodes if n.tag == "a" and n.attrs.get("href")]
+        return [
+            {"pos": k, "href": n.attrs["href"], "anchor_text": _text(n)[:200], "title": n.attrs.get("title", "")[:200], "is_navigation": in_navigation(n), "context": _context(n, around)[:300]}
+            for k, n in enumerate(anchors)
+        ]
+
+    def metatags(self) -> list[dict]:
+        return [{"pos": k, "key": key, "value": _clean(m.attrs["content"])} for k, m in enumerate(self.metas) if m.attrs.get("content") and (key := m.attrs.get("name") or m.attrs.get("property"))]
+
+
+PARSED = {
+    "title": "string",
+    "description": "string",
+    "language": "string",
+    "content": "string",
+    "extraction_method": "string",
+    "all_text": "string",
+    "aggressive_text": "string",
+    "headings": "array<struct<pos:int,level:int,text:string,id:string>>",
+    "links": "array<struct<pos:int,href:string,anchor_text:string,title:string,is_navigation:boolean,context:string>>",
+    "metatags": "array<struct<pos:int,key:string,value:string>>",
+}
+
+
+def describe(html: str | None, outputs: tuple[str, ...] = tuple(PARSED)) -> dict:
+    """What a page gives, as one record."""
+    page = _Page(html)
+    return {name: getattr(page, name)() for name in outputs}
+
+
+def parse_pages(pages: DataFrame, *outputs: str) -> DataFrame:
+    """page_id, url and these columns of PARSED (all if none is named) of every page (null html: an empty page)."""
+    outputs = outputs or tuple(PARSED)
 
     def run(batches):
         for pdf in batches:
-            rows = pd.DataFrame([describe(h) for h in pdf["html"]], columns=[c.split()[0] for c in PARSED_NAMES])
+            rows = pd.DataFrame([describe(h, outputs) for h in pdf["html"]], columns=list(outputs))
             rows.insert(0, "url", pdf["url"].to_numpy())
             rows.insert(0, "page_id", pdf["page_id"].to_numpy())
             yield rows
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, {PARSED}")
-
-
-PARSED_NAMES = ("title", "description", "language", "content", "extraction_method", "all_text", "aggressive_text", "headings", "links", "metatags")
+    made = ", ".join(f"{name} {PARSED[name]}" for name in outputs)
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, {made}")
 
 
 def page_headings(parsed: DataFrame) -> DataFrame:

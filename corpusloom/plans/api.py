@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.ids import content_hash, generate_id
 from ..operators import chunk as C
+from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import html as H
+from ..operators import index as I
+from ..operators import runs as R
 from ..operators import search as S
 from ..operators import store as K
-from ..operators.embed import Provider, embed, hashing_provider
+from ..operators.embed import Provider, hashing_provider
+from .page_queries import CONTENT, _plain, chunk_sql
+from .search_queries import _HOST, _NORM, _WHITE
 
 
 @dataclass(frozen=True)
@@ -34,45 +40,129 @@ class Corpus:
     relations: DataFrame  # from_id, to_id, type, weight
 
 
-def ingest(raw: DataFrame, provider: Provider | None = None, sizes: C.ChunkSizes = C.ChunkSizes(), per_source: int = 50, least: int = 1) -> Corpus:
+def ingest(raw: DataFrame, provider: Provider | None = None, sizes: C.ChunkSizes = C.ChunkSizes(), per_source: int = 50, least: int = 1, extractor: X.Extractor | None = None) -> Corpus:
     """A corpus from raw pages (page_id, url, html); the host is the source.
 
     Each page is parsed once and each chunk embedded once: parsed pages, pages
     and chunks are written as tables, all others are lazy plans over them.
+    Concepts are what the extractor replies for each page; without one, the
+    commonest terms of each source.
     """
-    parsed = H.parse_pages(raw).withColumn("page_url", U.normalize_url(F.col("url")))
+    parsed = H.parse_pages(raw, "title", "description", "language", "content", "links", "metatags").withColumn("page_url", U.normalize_url(F.col("url")))
     host = U.domain(F.col("page_url"))
     parsed = parsed.withColumn("source_id", generate_id("source", host)).withColumn("id", generate_id("page", F.col("page_url")))
-    parsed = G.cut_lineage(parsed.drop("all_text", "aggressive_text"))
+    parsed = G.cut_lineage(parsed)
     sources = parsed.groupBy(F.col("source_id").alias("id"), host.alias("name")).agg(F.count("*").alias("total_pages")).withColumn("root_url", F.concat(F.lit("https://"), F.col("name"))).withColumn("status", F.lit("completed"))
     rows = parsed.select(
         "id", F.col("page_url").alias("url"), "source_id", "title", "description", "content", T.truncate_text(F.col("content"), 500).alias("content_preview"), content_hash(F.col("content")).alias("content_hash"),
-        "language", T.word_count(F.col("content")).alias("word_count"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"),
+        "language", T.word_count(F.col("content")).alias("word_count"), F.lit(0).alias("depth"), F.col("page_id").alias("page_seq"), F.col("page_id").alias("seq"),
     )
-    keep = {c: K.REPLACE for c in ("source_id", "title", "description", "content", "content_preview", "content_hash", "word_count")} | {c: K.KEEP for c in ("url", "language", "depth")}
+    keep = {c: K.REPLACE for c in ("source_id", "title", "description", "content", "content_preview", "content_hash", "word_count", "page_seq")} | {c: K.KEEP for c in ("url", "language", "depth")}
     pages = G.cut_lineage(K.merge(rows, ["id"], keep))
-    chunks = G.cut_lineage(embed(_chunks(pages, sizes), "content", provider).where(~S.is_zero_vector(F.col("embedding"))))
+    chunks, _ = I.index_pages(pages, None, provider, sizes)
     found = H.page_links(parsed.withColumn("url", F.col("page_url")))
     links = G.link_pages(found.select(F.col("page_url").alias("from_url"), F.col("url").alias("to_url"), "anchor_text", F.col("pos").alias("seq")), pages)
     metatags = H.process_metatags(H.page_metatags(parsed.withColumn("page_id", F.col("id"))))
-    concepts = G.extract_concepts(pages, "content", "source_id", per_source, least)
+    typed = None
+    if extractor is None:
+        concepts = G.extract_concepts(pages, "content", "source_id", per_source, least)
+    else:
+        told = G.cut_lineage(X.extract(pages.select("page_seq", "source_id", "title", "content"), extractor).select("page_seq", "source_id", "extracted", "errors"))
+        concepts, typed = X.concepts_and_relations(told, "page_seq")
     mentioned = G.mentions(chunks, concepts, "id", "content").withColumnRenamed("id", "chunk_id")
     pairs = G.co_occurrence(mentioned, "chunk_id", limit=None)
-    relations = pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("related_to").alias("type"), "weight")
+    if typed is None:
+        relations = pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("related_to").alias("type"), "weight")
+    else:
+        relations = G.merge_relations(typed.withColumn("seq", F.lit(1)), "seq", pairs)
     return Corpus(sources, pages, chunks, links, metatags, concepts, mentioned, relations)
 
 
-def _chunks(pages: DataFrame, sizes: C.ChunkSizes) -> DataFrame:
-    done = C.chunk_documents(pages.select(F.col("id").alias("page_id"), "content"), "page_id", "content", sizes)
-    return done.join(pages.select(F.col("id").alias("page_id"), F.col("source_id").alias("source")), "page_id")
+@dataclass(frozen=True)
+class Run:
+    """What an index run leaves: the corpus, a job for each source, pages that failed, and one row of totals."""
+
+    corpus: Corpus
+    jobs: DataFrame
+    failed: DataFrame
+    totals: DataFrame
+
+
+def index_sources(fetched: DataFrame, run: str, now: Column | None = None, **options) -> Run:
+    """All sources of fetched pages (page_id, url, html, error) in one run.
+
+    A page with an error is recorded and left out; a source of which nothing
+    was fetched has failed, and the others are not held up by it.
+    """
+    corpus = ingest(fetched.where("error IS NULL"), **options)
+    per_page = corpus.chunks.groupBy("page_id").agg(F.count("*").alias("chunks_created"))
+    blank = F.coalesce(F.length(F.trim("content")), F.lit(0)) == 0
+    stats = corpus.pages.select(F.col("id").alias("page_id"), blank.cast("int").alias("empty_pages")).join(per_page, "page_id", "left").withColumn("embedding_failures", F.lit(0))
+    jobs = R.jobs_of(fetched, run, now)
+    return Run(corpus, jobs, R.failed_of(fetched, now), R.run_totals(jobs, stats, corpus.concepts))
+
+
+def retry_failed(corpus: Corpus, failed: DataFrame, fetch: Callable[[DataFrame], DataFrame], source_id: str | None = None, now: Column | None = None, **options) -> tuple[Corpus, DataFrame, DataFrame]:
+    """The corpus with what a second fetch brings, the failed pages that are left, and counts of a source.
+
+    fetch maps (url) to (url, html, error).  Pages are stored at depth 0 and
+    their chunks replaced; links between pages are left as they are.
+    """
+    chosen = R.failed_pages(failed, source_id)
+    urls = chosen.select("source_id", "url").distinct()
+    got = G.cut_lineage(fetch(urls.select("url").distinct()).select("url", "html", "error"))
+    told = urls.join(got, "url", "left").withColumn("error", F.when(F.col("html").isNull(), F.coalesce("error", F.lit("not fetched"))))
+    counts = told.groupBy("source_id").agg(F.count("*").alias("retried"), F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    again = told.where("error IS NOT NULL").select("source_id", "url", "error", (now if now is not None else F.current_timestamp()).alias("timestamp"))
+    left = again if source_id is None else R.clear_failed(failed, source_id).select(*again.columns).unionByName(again)
+    raw = got.where("error IS NULL AND html IS NOT NULL").select(F.xxhash64("url").alias("page_id"), "url", "html")
+    more = ingest(raw, **options)
+    policy = {c: K.REPLACE for c in corpus.pages.columns if c not in ("id", "url", "language", "depth")} | {c: K.KEEP for c in ("url", "language", "depth")}
+    pages = K.upsert(corpus.pages, more.pages.withColumn("seq", F.lit(0)), ["id"], policy)
+    ids = more.pages.select(F.col("id").alias("page_id"))
+    replaced = lambda old, new: old.join(ids, "page_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    concepts = K.upsert(corpus.concepts, more.concepts.withColumn("seq", F.lit(0)), ["id"], {"source_id": K.KEEP} | K.CONCEPT_POLICY)
+    new = replace(corpus, pages=pages, chunks=replaced(corpus.chunks, more.chunks), metatags=replaced(corpus.metatags, more.metatags), concepts=concepts)
+    return new, left, counts
+
+
+def reindex_source(corpus: Corpus, source_id: str, provider: Provider | None = None, sizes: C.ChunkSizes = C.ChunkSizes()) -> tuple[Corpus, DataFrame]:
+    """The corpus with the chunks of a source made anew from whole contents, and totals."""
+    chunks, stats = I.index_pages(corpus.pages.where(F.col("source_id") == source_id), corpus.chunks, provider, sizes)
+    return replace(corpus, chunks=chunks), I.totals(stats)
+
+
+def link_stats(corpus: Corpus) -> DataFrame:
+    return G.link_stats(corpus.links, corpus.mentions, corpus.relations)
+
+
+def doctor(spark: SparkSession, corpus: Corpus, provider: Provider | None = None, extractor: X.Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """component, healthy, detail; and name, status, pages, chunks, concepts of every source."""
+    rows = []
+    for name, probe in (("tables", lambda: spark.range(1).count() == 1), ("embeddings", lambda: f"{len((provider or hashing_provider())(['test'])[0])} dimensions"), ("extractor", lambda: bool((extractor or X.term_extractor())(["\n\nContent:\nprobe words"])))):
+        try:
+            said = probe()
+            rows.append((name, bool(said), said if isinstance(said, str) else "ok" if said else "no answer"))
+        except Exception as e:  # noqa: BLE001  a provider may raise anything
+            rows.append((name, False, str(e)[:200]))
+    report = corpus.sources.select(F.col("id").alias("source_id"), "name", "status").join(source_stats(corpus), "source_id", "left")
+    return spark.createDataFrame(rows, "component string, healthy boolean, detail string"), report.select("name", "status", "pages", "chunks", "concepts")
 
 
 def refresh(corpus: Corpus, raw: DataFrame, force: bool = False) -> DataFrame:
     """Pages of raw whose content is new or changed (all with force)."""
-    parsed = H.parse_pages(raw).select("page_id", U.normalize_url(F.col("url")).alias("url"), content_hash(F.col("content")).alias("content_hash"))
+    parsed = H.parse_pages(raw, "content").select("page_id", U.normalize_url(F.col("url")).alias("url"), content_hash(F.col("content")).alias("content_hash"))
     return parsed if force else K.changed(corpus.pages, parsed, "url", "content_hash")
 
 
+def refreshed(corpus: Corpus, raw: DataFrame, force: bool = False, **options) -> Corpus:
+    """The corpus with new and changed pages stored and indexed again."""
+    due = raw.join(refresh(corpus, raw, force).select("page_id"), "page_id", "left_semi")
+    failed = due.select(R.source_of(U.normalize_url(F.col("url"))).alias("source_id"), "url")
+    pages = due.select("url", "html", F.lit(None).cast("string").alias("error"))
+    return retry_failed(corpus, failed, lambda urls: urls.join(pages, "url"), **options)[0]
+
+
 # ----------------------------------------------------------------------- tools
 def doc_search(corpus: Corpus, query: str, mode: str = "hybrid", sources: list[str] | None = None, limit: int = S.DEFAULT_LIMIT, min_score: float | None = None, provider: Provider | None = None) -> DataFrame:
     """chunk_id, content, score, page_url, page_title, source_id, semantic_type, heading_context."""
@@ -150,6 +240,7 @@ def delete_source(corpus: Corpus, source_id: str) -> tuple[Corpus, DataFrame]:
     return replace(corpus, **left), counts
 
 
+# URI templates of resources and names of tools.
 RESOURCES: dict[str, Callable[..., DataFrame]] = {
     "doc://sources/{source_id}/pages": source_pages,
     "doc://sources/{source_id}/concepts": source_concepts,
@@ -171,12 +262,32 @@ def read_resource(corpus: Corpus, uri: str) -> DataFrame:
     raise KeyError(uri)
 
 
+def list_tools(spark: SparkSession) -> DataFrame:
+    """tool, argument, type, required, default (as text) of every tool, and its description; one row of nulls for a tool without arguments."""
+    rows = []
+    for name, tool in TOOLS.items():
+        about = (inspect.getdoc(tool) or "").split("\n")[0]
+        rows += [(name, about, None, None, False, None)] * (len(inspect.signature(tool).parameters) < 2)
+        for p in list(inspect.signature(tool).parameters.values())[1:]:
+            free = p.default is inspect.Parameter.empty
+            rows.append((name, about, p.name, str(p.annotation), free and p.kind is not p.VAR_KEYWORD, None if free else repr(p.default)))
+    return spark.createDataFrame(rows, "tool string, description string, argument string, type string, required boolean, default string")
+
+
 def call_tool(corpus: Corpus, name: str, **arguments):
     if name not in TOOLS:
         raise KeyError(f"no tool {name!r}; there are {', '.join(TOOLS)}")
     return TOOLS[name](corpus, **arguments)
 
 
+def answer_tool(corpus: Corpus, name: str, **arguments):
+    """call_tool(), with failures as text for the caller."""
+    try:
+        return call_tool(corpus, name, **arguments)
+    except Exception as e:  # noqa: BLE001
+        return f"Error: {e.args[0] if isinstance(e, KeyError) else e}"
+
+
 # --------------------------------------------------------------------- queries
 def _corpus(spark: SparkSession, d: str) -> Corpus:
     return ingest(spark.read.parquet(f"{d}/pages.parquet"))
@@ -205,4 +316,30 @@ def refresh_unchanged(spark, d):
     return refresh(corpus, spark.read.parquet(f"{d}/pages.parquet")).agg(F.count("*").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_source_stats, tool_doc_search, tool_doc_context_concepts, resource_all_pages, refresh_unchanged)}
+def refresh_changed(spark, d):
+    """Of pages some of which have another text now, those that are to be indexed again."""
+    corpus = _corpus(spark, d)
+    text = F.replace("html", F.lit("<article>"), F.lit("<article><p>Another text of one hundred characters and more, so that this is the content of the main area by itself, whatever follows.</p>"))
+    new = spark.read.parquet(f"{d}/pages.parquet").withColumn("html", F.when(F.col("page_id") % 5 == 0, text).otherwise(F.col("html")))
+    return refresh(corpus, new).select("page_id")
+
+
+def tool_list(spark, d):
+    return list_tools(spark).groupBy("tool").agg(F.count_if("required").alias("required"))
+
+
+QUERIES = {f.__name__: f for f in (ingest_source_stats, tool_doc_search, tool_doc_context_concepts, resource_all_pages, refresh_unchanged, refresh_changed, tool_list)}
+
+# --------------------------------------------------------------------- DuckDB
+_PAGES = f"""{CONTENT},
+stored AS (SELECT {_NORM.format("url")} AS u, page_id, html, content FROM contents),
+last_ AS (SELECT u, arg_max(html, page_id) AS html, arg_max(content, page_id) AS content, min(page_id) AS first_ FROM stored GROUP BY u)"""
+_WORDS = rf"trim(regexp_replace(content, '{_WHITE}', ' ', 'g'), ' ')"
+_TITLE = _plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+ORACLES = {
+    "ingest_source_stats": f"WITH RECURSIVE {_PAGES}, src AS (SELECT u AS doc_id, content AS text FROM last_), {chunk_sql('src')}, per AS (SELECT {_HOST.format('doc_id')} AS name, count(*) AS chunks, sum(length(text) // 4)::BIGINT AS total_tokens FROM text_ GROUP BY 1) SELECT name, total_pages, pages, coalesce(chunks, 0)::BIGINT AS chunks, coalesce(total_tokens, 0)::BIGINT AS total_tokens FROM (SELECT {_HOST.format('u')} AS name, count(*) AS total_pages, count(DISTINCT u) AS pages FROM stored GROUP BY 1) LEFT JOIN per USING (name)",
+    "resource_all_pages": f"WITH {_PAGES} SELECT u AS url, {_TITLE} AS title, regexp_extract((SELECT html FROM stored s WHERE s.page_id = first_ AND s.u = last_.u), '<html lang=\"(..)', 1) AS language, CASE WHEN {_WORDS} = '' THEN 0 ELSE len(string_split({_WORDS}, ' ')) END::BIGINT AS word_count, sha256(content) AS content_hash FROM last_",
+    "refresh_unchanged": "SELECT 0::BIGINT AS changed",
+    "refresh_changed": f"WITH {_PAGES} SELECT page_id FROM stored JOIN last_ USING (u) WHERE page_id % 5 = 0 OR sha256(stored.content) <> sha256(last_.content)",
+    "tool_list": "SELECT * FROM (VALUES ('doc_ingest', 0::BIGINT), ('doc_search', 1), ('doc_context', 1), ('doc_sources', 0), ('doc_refresh', 1), ('doc_ontology', 1)) t(tool, required)",
+}

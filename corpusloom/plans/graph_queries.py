@@ -320,6 +320,19 @@ _BFS = f"""
 WITH RECURSIVE {_REL},
 bfs AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT to_id, depth + 1 FROM bfs JOIN rel ON from_id = id WHERE depth < @)"""
 
+
+
+def _best_of_each_depth(depth: int, most: int) -> str:
+    """The crawl with a page limit, one CTE for each depth."""
+    parts = [f"WITH {_REL}, d0 AS (SELECT 0::BIGINT AS id), s0 AS (SELECT * FROM d0)"]
+    for k in range(1, depth + 1):
+        parts.append(
+            f"d{k} AS (SELECT to_id AS id FROM rel JOIN d{k - 1} ON from_id = id WHERE to_id NOT IN (FROM s{k - 1}) GROUP BY to_id ORDER BY max(1 - weight) DESC, to_id LIMIT (SELECT greatest(0, {most} - count(*)) FROM s{k - 1})),"
+            f" s{k} AS (FROM s{k - 1} UNION ALL FROM d{k})"
+        )
+    return ", ".join(parts) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k}::BIGINT AS depth, count(*) AS n FROM d{k}" for k in range(depth + 1)) + ") WHERE n > 0"
+
+
 ORACLES = {
     "concept_extract": f"WITH {_CONC} SELECT id, source_id, name, '' AS description, 'concept' AS category, round(least(1.0, mention_count / 10)::DOUBLE, 6) AS confidence, mention_count FROM conc",
     "concept_upsert_merge": "SELECT source AS source_id, lower(lang) AS key, arg_min(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, doc_id) AS name, md5(arg_max(text, length(text) * 10000000 - doc_id)) AS description, arg_min('c' || doc_id % 3, doc_id) AS category, max((doc_id % 10)::DOUBLE / 10) AS confidence, count(*) AS mention_count FROM documents GROUP BY 1, 2",
@@ -352,6 +365,7 @@ ORACLES = {
     "run_report": "SELECT count(*) FILTER (WHERE event_type <> 'error') AS pages, count(*) FILTER (WHERE event_type = 'error') AS failed, round(count(*) FILTER (WHERE event_type <> 'error') / count(*) * 100, 6) AS success_rate FROM events",
     "rate_limit_schedule": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT event_id, round(max(t - i * 3600.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY i) + i * 3600.0::DOUBLE, 3) AS start FROM e",
     "crawl_bfs_depth": _BFS.replace("@", "3") + " SELECT id, min(depth)::BIGINT AS depth FROM bfs GROUP BY id",
+    "crawl_max_pages": _best_of_each_depth(5, 30),
     "llm_json_repair": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props->>'$.k')::BIGINT END AS k FROM events",
     "ontology_partial_extract": "SELECT event_id, event_type AS name, 'concept' AS category, 0.5::DOUBLE AS confidence FROM events UNION ALL SELECT event_id, 'b', 'tool', 0.8::DOUBLE FROM events",
     "ontology_relations": "SELECT event_id, event_type AS from_id, 'b' AS to_id, 'uses' AS type, 0.8::DOUBLE AS confidence FROM events",

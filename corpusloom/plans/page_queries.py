@@ -14,46 +14,46 @@ from .search_queries import _CLEAN, _HOST, _NORM, _PATH, _kinds, read
 ROOT = "https://docs.example.com"
 
 
-def _parsed(spark, d) -> DataFrame:
-    return H.parse_pages(read(spark, d, "pages"))
+def _parsed(spark, d, *outputs) -> DataFrame:
+    return H.parse_pages(read(spark, d, "pages"), *outputs)
 
 
 def page_title_lang(spark, d):
-    return _parsed(spark, d).select("page_id", "title", "language")
+    return _parsed(spark, d, "title", "language").select("page_id", "title", "language")
 
 
 def page_headings(spark, d):
-    return H.page_headings(_parsed(spark, d)).select("page_id", F.col("level").cast("long").alias("level"), "text")
+    return H.page_headings(_parsed(spark, d, "headings")).select("page_id", F.col("level").cast("long").alias("level"), "text")
 
 
 def page_links(spark, d):
-    return H.page_links(_parsed(spark, d)).select("page_id", "url", "anchor_text", "is_navigation", "context")
+    return H.page_links(_parsed(spark, d, "links")).select("page_id", "url", "anchor_text", "is_navigation", "context")
 
 
 def page_links_nav_split(spark, d):
-    return H.page_links(_parsed(spark, d)).groupBy("page_id", "is_navigation").agg(F.count("*").alias("n"))
+    return H.page_links(_parsed(spark, d, "links")).groupBy("page_id", "is_navigation").agg(F.count("*").alias("n"))
 
 
 def page_content_manual(spark, d):
-    return _parsed(spark, d).where("extraction_method = 'manual'").select("page_id", "content", T.word_count(F.col("content")).alias("words"))
+    return _parsed(spark, d, "content", "extraction_method").where("extraction_method = 'manual'").select("page_id", "content", T.word_count(F.col("content")).alias("words"))
 
 
 def page_content_all_text(spark, d):
-    return _parsed(spark, d).select("page_id", "all_text")
+    return _parsed(spark, d, "all_text").select("page_id", "all_text")
 
 
 def page_content_aggressive(spark, d):
-    return _parsed(spark, d).select("page_id", "aggressive_text")
+    return _parsed(spark, d, "aggressive_text").select("page_id", "aggressive_text")
 
 
 def extraction_method_counts(spark, d):
     """Pages whose main area gave enough text, and pages that needed a fallback."""
     method = F.when(F.col("extraction_method") == "manual", "manual").otherwise("fallback")
-    return _parsed(spark, d).groupBy(method.alias("extraction_method")).agg(F.count("*").alias("n"))
+    return _parsed(spark, d, "extraction_method").groupBy(method.alias("extraction_method")).agg(F.count("*").alias("n"))
 
 
 def _links(spark, d):
-    return H.page_links(_parsed(spark, d))
+    return H.page_links(_parsed(spark, d, "links"))
 
 
 def link_prefilter(spark, d):
@@ -81,14 +81,24 @@ def link_follow_top(spark, d):
 
 _META = (
     ("OG:Title", "T"), ("og:title", "U"), ("viewport", "w"), ("og:x", "y"), ("keywords", " a, b ,c "), ("article:tag", "z"), ("twitter:card", "summary"),
-    ("og:type", "article"), ("author", "A. Writer"), ("docsearch:version", "2.0"), ("generator", " gen "), ("og:site_name", "Site"), ("description", ""),
+    ("og:type", "article"), ("author", "A. Writer"), ("docsearch:version", "2.0"), ("generator", " gen "), ("og:site_name", "Site"), ("description", ""), ("og:url", "{page_id}"),
 )
 
 
+def _with_metas(spark, d) -> DataFrame:
+    """Pages with metatags written into their HTML, whose own have none with a name."""
+    property_ = lambda k: "property" if k.lower().startswith(("og:", "article:")) else "name"
+    made = F.concat(*[F.concat(F.lit(f'<meta {property_(k)}="{k}" content="'), F.col("page_id") if v == "{page_id}" else F.lit(v), F.lit('">')) for k, v in _META], F.lit("</head>"))
+    return read(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</head>"), made))
+
+
 def _tags(spark, d) -> DataFrame:
-    """The metatags of a small page for every page; the pages' own have none with a name."""
-    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(_META)], "pos int, key string, value string")
-    return read(spark, d, "pages").select("page_id").crossJoin(F.broadcast(rows))  # 13 rows
+    return H.page_metatags(H.parse_pages(_with_metas(spark, d), "metatags"))
+
+
+def page_metatags(spark, d):
+    """The metatags as the HTML has them."""
+    return _tags(spark, d).select("page_id", "key", "value")
 
 
 def metatag_process(spark, d):
@@ -105,7 +115,7 @@ def page_metatag_map(spark, d):
 
 
 def _structured(spark, d):
-    return H.structured_data(_parsed(spark, d), _tags(spark, d))
+    return H.structured_data(_parsed(spark, d, "title", "description", "language"), _tags(spark, d))
 
 
 def structured_data(spark, d):
@@ -162,18 +172,22 @@ QUERIES = {
     for f in (
         page_title_lang, page_headings, page_links, page_links_nav_split, page_content_manual, page_content_all_text, page_content_aggressive, extraction_method_counts,
         link_prefilter, link_heuristic_score, link_scores_of_candidates, link_follow_top, metatag_process, metatag_categorize, page_metatag_map, structured_data,
-        metatag_summary, chunk_sentence_pack, chunk_split_points, chunk_overlap, chunk_char_offsets, chunk_full, index_stats, index_stats_rollup,
+        metatag_summary, page_metatags, chunk_sentence_pack, chunk_split_points, chunk_overlap, chunk_char_offsets, chunk_full, index_stats, index_stats_rollup,
     )
 }
 
 # --------------------------------------------------------------------- DuckDB
 
 
-def _plain(x: str) -> str:
-    """Tags and entities out of a piece of a page, white space cleaned."""
+def _unescaped(x: str) -> str:
     for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         x = f"replace({x}, '{a}', '{b}')"
-    return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'), ' ')"
+    return x
+
+
+def _plain(x: str) -> str:
+    """Tags and entities out of a piece of a page, white space cleaned."""
+    return f"trim(regexp_replace({_unescaped(x)}, '{_WS}', ' ', 'g'), ' ')"
 
 
 _WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -192,9 +206,10 @@ cand AS (SELECT page_id, page_id % 2 = 0 AS nav, 'https://a.com/' || CASE page_i
 scored AS (SELECT page_id, url, {_LIKE} OR NOT nav AS should_follow, CASE WHEN {_LIKE} AND NOT nav THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS priority FROM cand)"""
 _SKIPS = "|".join(w.replace(".", "\\.") for w in U.SKIP_SUBSTRINGS)
 _VALUES = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_META))
+_META_ROWS = f"(SELECT page_id, pos, key, CASE value WHEN '{{page_id}}' THEN page_id::VARCHAR ELSE value END AS value FROM pages, (VALUES {_VALUES}) v(pos, key, value))"
 _KEEP = ", ".join(f"'{k}'" for k in T.IMPORTANT_METATAGS)
 _TAGS = f"""
-tags AS (SELECT page_id, pos, key, value FROM pages, (VALUES {_VALUES}) v(pos, key, value)),
+tags AS (FROM {_META_ROWS}),
 low AS (SELECT page_id, pos, lower(trim(key)) AS key, trim(value) AS value FROM tags WHERE trim(value) <> ''),
 done AS (SELECT page_id, key, arg_min(value, pos) AS value, CASE WHEN key LIKE 'og:%' OR key LIKE 'article:%' THEN 'opengraph' WHEN key LIKE 'twitter:%' THEN 'twitter' WHEN key LIKE 'schema:%' OR key LIKE 'itemprop%' THEN 'schema' ELSE 'standard' END AS category
          FROM low WHERE key IN ({_KEEP}) OR key LIKE 'og:%' OR key LIKE 'twitter:%' GROUP BY page_id, key)"""
@@ -213,7 +228,74 @@ prev AS (SELECT doc_id, chunk_index, content, lag(content) OVER (PARTITION BY do
 tail AS (SELECT *, right(p, 400) AS t FROM prev),
 text_ AS (SELECT doc_id, chunk_index, CASE WHEN p IS NULL THEN content ELSE '...' || CASE WHEN strpos(t, ' ') > 1 THEN substr(t, strpos(t, ' ') + 1) ELSE t END || chr(10) || chr(10) || content END AS text FROM tail)"""
 _RECURSIVE = "WITH RECURSIVE"
+_MARK = "chr(57344)"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}', ''), '{_WS}$', '')"
+
+
+def chunk_sql(src: str) -> str:
+    """CTEs that end in text_ (doc_id, chunk_index, text with overlap): whole chunking of src (doc_id, text) without code fences.
 
+    Cuts are made at marks, merged in order, large pieces packed by
+    sentences, and windows cut from what is still too long.
+    """
+    kinds = (rf"regexp_replace(text, '(\.\n)', '\1' || {_MARK}, 'g')", rf"regexp_replace(text, '(\n\n+)', {_MARK} || '\1', 'g')", rf"regexp_replace(text, '(?m)(^#{{1,6}}\s+.+$)', {_MARK} || '\1', 'g')")
+    marked = " UNION ALL ".join(f"SELECT doc_id, {n} AS kind, string_split({x}, {_MARK}) AS parts FROM ck_in" for n, x in enumerate(kinds))
+    return rf"""
+ck_in AS (SELECT doc_id, text FROM {src} WHERE {_stripped("text")} <> ''),
+ck_marks AS (SELECT doc_id, pos FROM (
+  SELECT doc_id, k, n, sum(length(part)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS pos
+  FROM (SELECT doc_id, kind, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM ({marked}))) WHERE k < n GROUP BY ALL),
+ck_lists AS (SELECT doc_id, list_sort(list(pos::BIGINT)) AS p FROM ck_marks GROUP BY doc_id),
+ck_walk AS (
+  SELECT doc_id, 1 AS k, -1::BIGINT AS last, NULL::BIGINT AS position, p FROM ck_lists
+  UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN p[k] > last + 50 THEN p[k] ELSE last END, CASE WHEN p[k] > last + 50 THEN p[k] END, p FROM ck_walk WHERE k <= len(p)),
+ck_kept AS (SELECT doc_id, list_sort(list(position)) AS p FROM ck_walk WHERE position IS NOT NULL GROUP BY doc_id),
+ck_bounds AS (SELECT doc_id, text, list_concat([0::BIGINT], p, [length(text)]) AS b FROM ck_in JOIN ck_kept USING (doc_id)),
+ck_raw AS (
+  SELECT doc_id, k, piece FROM (SELECT doc_id, k, {_stripped("substr(text, b[k] + 1, b[k + 1] - b[k])")} AS piece FROM (SELECT *, unnest(range(1, len(b))) AS k FROM ck_bounds)) WHERE piece <> ''
+  UNION ALL SELECT doc_id, 1, text FROM ck_in WHERE doc_id NOT IN (SELECT doc_id FROM ck_kept)),
+ck_pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, piece, length(piece) // 4 > 1000 AS big FROM ck_raw),
+ck_merge AS (
+  SELECT doc_id, k, 1 AS g, piece AS held, big FROM ck_pieces WHERE k = 1
+  UNION ALL
+  SELECT m.doc_id, p.k, CASE WHEN p.big OR m.big OR length(m.held || '  ' || p.piece) // 4 > 800 THEN g + 1 ELSE g END,
+         CASE WHEN p.big OR m.big OR length(m.held || '  ' || p.piece) // 4 > 800 THEN p.piece ELSE m.held || chr(10) || chr(10) || p.piece END, p.big
+  FROM ck_merge m JOIN ck_pieces p ON m.doc_id = p.doc_id AND p.k = m.k + 1),
+ck_groups AS (SELECT doc_id, g, arg_max(held, k) AS held, bool_or(big) AS big FROM ck_merge GROUP BY doc_id, g),
+ck_sent AS (SELECT doc_id, g, string_split(regexp_replace(held, '([.!?]){_WS}', '\1' || {_MARK}, 'g'), {_MARK}) AS s FROM ck_groups WHERE big),
+ck_pack AS (
+  SELECT doc_id, g, 1 AS k, 0::BIGINT AS c, s[1] AS cur, s FROM ck_sent
+  UNION ALL
+  SELECT doc_id, g, k + 1, CASE WHEN length(cur) + length(s[k + 1]) > 3200 AND cur <> '' THEN c + 1 ELSE c END,
+         CASE WHEN length(cur) + length(s[k + 1]) > 3200 OR cur = '' THEN s[k + 1] ELSE cur || ' ' || s[k + 1] END, s
+  FROM ck_pack WHERE k < len(s)),
+ck_sized AS (
+  SELECT doc_id, g, 0::BIGINT AS c, held AS content FROM ck_groups WHERE NOT big
+  UNION ALL SELECT doc_id, g, c, {_stripped("arg_max(cur, k)")} FROM ck_pack GROUP BY doc_id, g, c HAVING arg_max(cur, k) <> ''),
+ck_cut AS (
+  SELECT doc_id, g, c, 0 AS n, ''::VARCHAR AS part, content AS rest, length(content) // 4 > 2000 AS long_ FROM ck_sized
+  UNION ALL
+  SELECT doc_id, g, c, n + 1, left(rest, stop), substr(rest, stop + 1), long_ FROM (
+    SELECT *, CASE WHEN NOT long_ THEN length(rest) WHEN dot - 1 > length(window_) // 2 THEN dot ELSE length(window_) END AS stop FROM (
+      SELECT *, left(rest, 7800) AS window_, CASE WHEN contains(left(rest, 7800), '.') THEN length(left(rest, 7800)) - strpos(reverse(left(rest, 7800)), '.') + 1 ELSE 0 END AS dot FROM ck_cut WHERE rest <> ''))),
+packed AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, c, n) - 1 AS chunk_index, content
+  FROM (SELECT doc_id, g, c, n, CASE WHEN long_ THEN {_stripped("part")} ELSE part END AS content FROM ck_cut WHERE n > 0) WHERE content <> ''), {_OVER}"""
+
+
+
+_PIECES = rf"list_transform(regexp_extract_all(html, '<(?:{{0}})>((?:[^<]|</?(?:b|a|br)(?: [^>]*)?>)*)', 1), lambda e: array_to_string(list_transform(string_split(regexp_replace(e, '<[^>]*>', {_MARK}, 'g'), {_MARK}), lambda s: {_stripped(_unescaped('s'))}), ''))"
+_NO_NAV = " AND ".join(f"NOT contains(lower(t), '{p}')" for p in T.NAVIGATION_PHRASES)
+#: Text of list items and paragraphs, then of first headings, as the aggressive method takes it.
+_AGGRESSIVE = f"array_to_string(list_concat(list_filter({_PIECES.replace('{0}', 'li|p')}, lambda t: length(t) > 20 AND {_NO_NAV}), list_filter({_PIECES.replace('{0}', 'h1')}, lambda t: length(t) > 5)), chr(10) || chr(10))"
+CONTENT = f"""
+parts AS (SELECT page_id, url, html, {_plain(_ARTICLE)} AS manual, {_AGGRESSIVE} AS aggressive, {_plain(_BODY)} AS every_ FROM pages),
+contents AS (SELECT page_id, url, html, CASE WHEN length(manual) >= 100 THEN manual WHEN length(aggressive) >= 50 THEN aggressive WHEN every_ <> '' THEN every_ WHEN manual <> '' THEN manual ELSE aggressive END AS content FROM parts)"""
+_CHUNKED = f"{_RECURSIVE} {chunk_sql('documents')}, sized AS (SELECT *, (length(text) // 4)::BIGINT AS token_count FROM text_)"
 ORACLES = {
     "page_title_lang": f"SELECT page_id, {_plain(chr(40) + 'regexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1))')} AS title, regexp_extract(html, '<html lang=\"(..)', 1) AS language FROM pages",
     "page_headings": f"SELECT page_id, 1::BIGINT AS level, {_plain('h')} AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages)",
@@ -221,11 +303,13 @@ ORACLES = {
     "page_links_nav_split": f"WITH {_LINKS} SELECT page_id, is_navigation, count(*) AS n FROM links GROUP BY ALL",
     "page_content_manual": f"WITH c AS (SELECT page_id, {_plain(_ARTICLE)} AS content FROM pages) SELECT page_id, content, len(string_split(content, ' '))::BIGINT AS words FROM c WHERE length(content) >= 100",
     "page_content_all_text": f"SELECT page_id, {_plain(_BODY)} AS all_text FROM pages",
+    "page_content_aggressive": f"SELECT page_id, {_AGGRESSIVE} AS aggressive_text FROM pages",
     "extraction_method_counts": f"SELECT CASE WHEN length({_plain(_ARTICLE)}) >= 100 THEN 'manual' ELSE 'fallback' END AS extraction_method, count(*) AS n FROM pages GROUP BY 1",
     "link_prefilter": f"WITH {_LINKS} SELECT page_id, url, ({_HOST.format('url')} = 'example.com' OR {_HOST.format('url')} LIKE '%.example.com') AND NOT regexp_matches(lower({_PATH.format('url')}), '{_SKIPS}') AS kept, {_HOST.format('url')} LIKE '%example.com' AND NOT regexp_matches(lower({_PATH.format('url')}), '{_SKIPS}') AS kept_loose FROM links",
     "link_heuristic_score": f"WITH {_LINKS} SELECT page_id, url, {_LIKE} OR NOT is_navigation AS should_follow, CASE WHEN {_LIKE} AND NOT is_navigation THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS priority, 'heuristic evaluation' AS reason FROM links",
     "link_scores_of_candidates": f"WITH {_CAND} SELECT * FROM scored",
     "link_follow_top": f"WITH {_CAND} SELECT * FROM scored WHERE should_follow ORDER BY priority DESC, url LIMIT 20",
+    "page_metatags": f"SELECT page_id, key, trim(value) AS value FROM {_META_ROWS} WHERE value <> ''",
     "metatag_process": f"WITH {_TAGS} SELECT * FROM done",
     "metatag_categorize": f"WITH {_TAGS} SELECT category, count(*) AS n FROM done GROUP BY 1",
     "page_metatag_map": f"WITH {_TAGS} SELECT page_id, '{{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}}' AS metatags FROM done GROUP BY page_id",
@@ -242,6 +326,8 @@ rec AS (
 SELECT doc_id, position FROM rec WHERE position IS NOT NULL""",
     "chunk_overlap": f"{_RECURSIVE} {_PACK}, {_OVER} SELECT doc_id, chunk_index, md5(text) AS digest, (length(text) // 4)::BIGINT AS token_count, {_kinds()} AS semantic_type FROM text_",
     "chunk_char_offsets": f"{_RECURSIVE} {_PACK}, {_OVER} SELECT doc_id, chunk_index, coalesce(sum(length(text) - 400) OVER w, 0)::BIGINT AS start_char, (coalesce(sum(length(text) - 400) OVER w, 0) + length(text))::BIGINT AS end_char FROM text_ WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "chunk_full": f"{_CHUNKED} SELECT 'chunk_' || substr(sha256(doc_id || '|' || chunk_index), 1, 12) AS id, doc_id, chunk_index, text AS content, token_count, {_kinds()} AS semantic_type, coalesce(sum(length(text) - 400) OVER w, 0)::BIGINT AS start_char, (coalesce(sum(length(text) - 400) OVER w, 0) + length(text))::BIGINT AS end_char FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "index_stats": f"{_CHUNKED}, per AS (SELECT doc_id, count(*) AS n, sum(token_count) AS t FROM sized GROUP BY doc_id) SELECT source, coalesce(sum(n), 0)::BIGINT AS chunks_created, coalesce(sum(t), 0)::BIGINT AS total_tokens, count(*) FILTER (WHERE n IS NULL) AS empty_pages FROM documents LEFT JOIN per USING (doc_id) GROUP BY source",
     "index_stats_rollup": "SELECT source, count(*) AS pages, sum(length(text) // 4)::BIGINT AS total_tokens FROM documents GROUP BY ROLLUP (source)",
 }
 

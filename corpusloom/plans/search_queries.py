@@ -202,7 +202,7 @@ def chunk_type_histogram(spark, d):
 
 def prompt_texts(spark, d):
     p = read(spark, d, "documents")
-    return p.select("doc_id", F.md5(T.ontology_prompt(F.col("source"), F.col("text"), 2000)).alias("digest"))
+    return p.select("doc_id", F.md5(T.ontology_prompt(F.col("source"), F.col("text"))).alias("digest"))
 
 
 QUERIES = {
@@ -285,6 +285,6 @@ ORACLES = {
     "chunk_classify": f"SELECT doc_id, {_kinds()} AS semantic_type FROM documents",
     "navigation_text": "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{p}')" for p in T.NAVIGATION_PHRASES),
     "chunk_type_histogram": f"SELECT {_kinds()} AS semantic_type, count(*) AS n FROM documents GROUP BY 1",
-    "prompt_texts": "SELECT doc_id, md5('Extract concepts and relationships from this page.' || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Content:' || chr(10) || left(text, 2000)) AS digest FROM documents",
+    "prompt_texts": "SELECT doc_id, md5('Extract concepts and relationships from this page.' || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Content:' || chr(10) || left(text, 8000)) AS digest FROM documents",
 }
 ORACLES["embed_documents"] = "SELECT doc_id, 64::BIGINT AS dimensions FROM documents"

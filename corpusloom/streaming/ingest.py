@@ -6,6 +6,7 @@ writes the same rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls as U
+from ..operators.graph import shared_folder
 
 
 def read_folder(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -40,7 +42,17 @@ def upsert_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], c
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain what is there into a memory table and return it (small results: one row a group)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drain what is there into a table of the shared folder and return it.
+
+    The last complete result replaces those before; in append mode batches are
+    added under their number, so that a replayed one is written once.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")

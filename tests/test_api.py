@@ -74,3 +74,81 @@ def test_streams(spark, tmp_path):
     assert [(r["user_id"], r["n"]) for r in table.collect()] == [(7, 3)]
     table = I.run_to_table(I.windowed(I.read_folder(spark, str(tmp_path / "in"), df.schema)), "windows_test")
     assert sum(r["n"] for r in table.collect()) == 3
+
+
+# ------------------------------------------------------------- runs, retry, tools
+def _html(t):
+    return f"<html lang='en'><head><title>{t}</title></head><body><main><p>{t} hooks guide. {'React hooks keep state between renders. ' * 6}</p></main></body></html>"
+
+
+def test_runs_and_retry(spark):
+    fetched = [(1, "https://a.com/one", _html("One"), None), (2, "https://a.com/two", None, "HTTP 500"), (3, "https://b.com/x", None, "HTTP 404"), (4, "https://c.com/", "<p></p>", None)]
+    run = api.index_sources(spark.createDataFrame(fetched, "page_id long, url string, html string, error string"), "r1")
+    assert {r["pages_crawled"]: r["status"] for r in run.jobs.collect()} == {1: "completed", 0: "failed"}
+    t = run.totals.first()
+    assert (t["sources_completed"], t["sources_failed"], t["total_pages"], t["failed_pages"], t["total_chunks"], t["empty_pages"]) == (2, 1, 2, 2, 1, 1)
+    assert run.failed.count() == 2
+
+    def fetch(urls):
+        return urls.selectExpr("url", "CASE WHEN url LIKE '%two' THEN '" + _html("Two").replace("'", "\\'") + "' END AS html", "CASE WHEN url NOT LIKE '%two' THEN 'HTTP 404' END AS error")
+
+    corpus, left, counts = api.retry_failed(run.corpus, run.failed, fetch)
+    assert sorted((r["retried"], r["success"], r["failed"]) for r in counts.collect()) == [(1, 0, 1), (1, 1, 0)]
+    assert [r["url"] for r in left.collect()] == ["https://b.com/x"]
+    assert {r["title"]: r["depth"] for r in corpus.pages.collect()} == {"One": 0, "Two": 0, "": 0}
+    assert corpus.chunks.count() == 2 and corpus.chunks.select("id").distinct().count() == 2
+    source = run.failed.where("url LIKE '%two'").first()["source_id"]
+    _, left, counts = api.retry_failed(run.corpus, run.failed, fetch, source)
+    assert [r["url"] for r in left.collect()] == ["https://b.com/x"] and counts.count() == 1
+    again, totals = api.reindex_source(corpus, source)
+    assert totals.first()["chunks_created"] == 2 and again.chunks.count() == 2
+    new = spark.createDataFrame([(9, "https://a.com/one", _html("Changed"))], "page_id long, url string, html string")
+    assert {r["title"] for r in api.refreshed(corpus, new).pages.collect()} == {"Changed", "Two", ""}
+
+
+def test_extractor_in_ingest(spark):
+    from corpusloom.operators import extract as X
+
+    rows = [(1, "https://a.com/one", _html("One")), (2, "https://a.com/two", _html("Two")), (3, "https://a.com/three", "<p>short</p>")]
+    corpus = api.ingest(spark.createDataFrame(rows, "page_id long, url string, html string"), extractor=X.term_extractor(4))
+    concepts = {r["name"]: r["mention_count"] for r in corpus.concepts.collect()}
+    assert concepts["hooks"] == 2 and len(concepts) <= 8
+    ids = {r["id"] for r in corpus.concepts.collect()}
+    edges = corpus.relations.collect()
+    assert edges and all(r["from_id"] in ids and r["to_id"] in ids for r in edges)
+    assert corpus.mentions.count() > 0 and api.link_stats(corpus).first()["concept_relations"] == len(edges)
+
+    def broken(prompts):
+        raise RuntimeError("rate limit")
+
+    failed = X.extract(spark.createDataFrame([(1, "s", "t", "x" * 200), (2, "s", "t", "short")], "k long, source_id string, title string, content string"), broken)
+    got = {r["k"]: r for r in failed.collect()}
+    assert (got[1]["attempts"], got[2]["attempts"]) == (3, 0) and len(got[1]["errors"]) == 3 and not got[2]["errors"]
+
+
+def test_doctor_and_tools(spark, corpus):
+    components, sources = api.doctor(spark, corpus, provider=lambda texts: 1 / 0)
+    state = {r["component"]: (r["healthy"], r["detail"]) for r in components.collect()}
+    assert state["tables"][0] and state["extractor"][0] and not state["embeddings"][0] and "zero" in state["embeddings"][1]
+    assert {r["name"]: r["pages"] for r in sources.collect()} == {"a.com": 2, "b.com": 1}
+    tools = api.list_tools(spark)
+    assert {r["tool"] for r in tools.collect()} == set(api.TOOLS)
+    assert {r["argument"] for r in tools.where("tool = 'doc_search' AND required").collect()} == {"query"}
+    assert api.answer_tool(corpus, "nothing").startswith("Error: no tool")
+    assert api.answer_tool(corpus, "doc_search", query="hooks").count() > 0
+
+
+def test_states_of_one_source(spark):
+    from corpusloom.operators import runs as R
+
+    rows = [
+        R.log_row(spark, "s", 0, R.UPDATE, pages_crawled=9), R.log_row(spark, "s", 1, R.START, name="n", url="u"), R.log_row(spark, "s", 2, R.UPDATE, pages_crawled=3),
+        R.log_row(spark, "s", 3, R.FAIL, error="e"), R.log_row(spark, "s", 4, R.START), R.log_row(spark, "s", 5, R.UPDATE, pages_crawled=1), R.log_row(spark, "x", 1, R.UPDATE),
+    ]
+    log = rows[0]
+    for r in rows[1:]:
+        log = log.unionByName(r)
+    failed = R.fold_states(log.where("seq < 4")).collect()
+    assert [(r["id"], r["status"], r["error"], r["pages_crawled"], r["ended_at"] is None) for r in failed] == [("s", "failed", "e", 3, False)]
+    again = R.fold_states(log).first()
+    assert (again["status"], again["error"], again["pages_crawled"], again["ended_at"]) == ("indexing", None, 1, None)

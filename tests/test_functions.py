@@ -275,3 +275,102 @@ def test_partition_count_does_not_matter(spark):
     df = spark.createDataFrame([(k, "for avec " * (k % 5 + 1) + f"w{k}", f"s{k % 3}") for k in range(40)], "doc_id long, text string, source string")
     runs = [[(r["doc_id"], round(r["score"], 9)) for r in S.fulltext_search(df.repartition(n), "for w7", "doc_id", "text").collect()] for n in (1, 7)]
     assert runs[0] == runs[1]
+
+
+# ---------------------------------------------------------------- best-first crawl
+def brute_best_first(edges, root, depth, most):
+    import heapq
+
+    queue, seen = [(-1.0, 0, root)], {}
+    while queue and len(seen) < most:
+        p, d, x = heapq.heappop(queue)
+        if x in seen:
+            continue
+        seen[x] = (d, -p)
+        if d < depth:
+            for a, b, w in edges:
+                if a == x and b not in seen:
+                    heapq.heappush(queue, (-w, d + 1, b))
+    return seen
+
+
+def test_best_first_crawl(spark):
+    import random
+
+    rng = random.Random(3)
+    for most in (1, 7, 100):
+        # Priorities are of the page, as a heuristic gives them; ties are taken by depth, then id.
+        edges = [(a, b, [0.9, 0.7, 0.4][b % 3]) for a in range(30) for b in rng.sample(range(30), 3)]
+        df = spark.createDataFrame(edges, "src long, dst long, priority double")
+        got = {r["id"]: (r["depth"], r["priority"]) for r in G.crawl_best_first(df, spark.createDataFrame([(0,)], "id long"), 3, most).collect()}
+        # A turn takes a whole priority before it looks at what these pages link to at the same priority.
+        want = brute_best_first(edges, 0, 3, 100)
+        assert len(got) == min(most, len(got)) and set(got) <= set(want) and got[0] == (0, 1.0)
+        if most == 100:
+            assert {x: p for x, (_, p) in got.items()} == {x: p for x, (_, p) in want.items()}
+    line = spark.createDataFrame([(0, 1, 0.4), (0, 2, 0.9), (2, 3, 0.7), (3, 4, 0.7), (1, 5, 0.9)], "src long, dst long, priority double")
+    first = G.crawl_best_first(line, spark.createDataFrame([(0,)], "id long"), 4, 5).orderBy("visit", "id").collect()
+    assert [r["id"] for r in first] == [0, 2, 3, 4, 1]
+
+
+@pytest.mark.parametrize("span", [0.7, 3.0, None])
+def test_rate_schedule_in_spans(spark, span):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, k % 3, float(rng.randint(0, 40)) / 4) for k in range(300)]
+    got = {r["id"]: r["start"] for r in G.rate_schedule(spark.createDataFrame(rows, "id long, g long, t double"), "g", F.col("t"), 0.5, "id", span).collect()}
+    for g in range(3):
+        last = None
+        for k, _, t in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
+            last = t if last is None else max(t, last + 0.5)
+            assert abs(got[k] - last) < 1e-9
+
+
+# ------------------------------------------------------------------------- fetch
+def test_fetch_pages(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from corpusloom.sources import http as W
+
+    asked = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            code = {"/lost": 404, "/moved": 302, "/flaky": 500 if asked.count("/flaky") < 2 else 200}.get(self.path, 200)
+            self.send_response(code)
+            if code == 302:
+                self.send_header("Location", "/page")
+            self.send_header("Content-Type", "application/pdf" if self.path == "/file" else "text/html; charset=iso-8859-1")
+            self.end_headers()
+            self.wfile.write("<p>é</p>".encode("latin-1"))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(f"{base}{p}",) for p in ("/page", "/lost", "/moved", "/file", "/flaky")] + [("http://127.0.0.1:1/",)], "url string")
+        got = {r["url"].rsplit("/", 1)[-1]: r for r in W.fetch_pages(urls, wait=(0.01, 0.02), delay=0.0, timeout=5).collect()}
+    finally:
+        server.shutdown()
+    assert got["page"]["html"] == got["moved"]["html"] == got["flaky"]["html"] == "<p>é</p>"
+    assert (got["lost"]["html"], got["lost"]["status"], got["lost"]["error"]) == (None, 404, "HTTP 404")
+    assert got["file"]["html"] is None and "application/pdf" in got["file"]["error"] and asked.count("/file") == 1
+    assert got[""]["status"] is None and got[""]["error"] and asked.count("/flaky") == 2
+
+
+def test_link_context_is_linear():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = "<body><main>" + "".join(f'<a href="/p{k}">link {k}</a> ' for k in range(n)) + "</main></body>"
+        began = time.time()
+        assert len(H.describe(page, ("links",))["links"]) == n
+        took.append(time.time() - began)
+    assert took[1] < 20 * took[0] + 0.5
