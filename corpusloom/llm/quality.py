@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import put_back, set_aside
+
 ALPHA = 0.05
 DELTA = 0.05
 MAX_BROADCAST_ROWS = 10_000  # strata with a cutoff; more are joined
@@ -27,6 +29,7 @@ RULES = {
     "capitals": "n_capitals / greatest(word_chars, 1)",
     "shouts": "n_shouts / greatest(n_words, 1)",
 }
+METRICS = ("word_chars", "n_symbols", "n_capitals", "n_shouts", "n_words", "n_full_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 GRID = tuple(round(0.02 * 1.45**k, 4) for k in range(12))
 
 
@@ -53,7 +56,8 @@ def _repeat_words(width: int = 8) -> str:
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the metrics of every whole text (null: no words, no lines).
 
-    Metric columns of the input are replaced.
+    Metric columns of the input, and kept, are replaced; others stay, whatever
+    their names.
     """
     text = "coalesce(CAST(text AS STRING), '')"
     plain = {
@@ -70,9 +74,10 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_dup_lines": "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT)",
         "n_repeat_words": _repeat_words(),
     }
-    out = docs.drop(*plain, *derived, "base_failed", "kept").withColumns({k: F.expr(v) for k, v in plain.items()})
+    docs, given = set_aside(docs, ("doc_id", "text", "lang"), (*METRICS, "kept"))
+    out = docs.withColumns({k: F.expr(v) for k, v in plain.items()})
     out = out.withColumns({k: F.expr(v) for k, v in derived.items()}).drop("_w", "_l")
-    return out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    return put_back(out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")), given)
 
 
 def _log_factorial(n: str) -> str:
@@ -119,6 +124,7 @@ def select_cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA,
 def judged(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """metrics with kept: false where the base rules or a cutoff reject the document."""
     n = cutoffs.count()
+    metrics, given = set_aside(metrics, ("doc_id", "text", "lang", *METRICS), ("kept",))
     keyed = cutoffs.withColumnRenamed("stratum", "_stratum")
     side = F.broadcast(keyed) if n <= MAX_BROADCAST_ROWS else keyed
     joined = metrics.withColumn("_stratum", stratum()).join(side, "_stratum", "left")
@@ -126,4 +132,4 @@ def judged(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     for r, e in RULES.items():
         rejected = rejected | F.coalesce(F.expr(e) > F.col(f"cut_{r}"), F.lit(False))
     out = joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return out.drop("_stratum", *[f"cut_{r}" for r in RULES])
+    return put_back(out.select(*metrics.columns, "kept"), given)

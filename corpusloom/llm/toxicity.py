@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .scratch import small_batches
+from .scratch import put_back, set_aside, small_batches, tidy
 
 MAX_FIT_ROWS = 20_000
 MAX_LEXICON = 4_000
@@ -127,13 +127,16 @@ class Model:
 
 
 def _fit_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """fold (1-4), toxic, text of the labelled training rows; a sample by hash of about `most` rows where there are more."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """fold (1-4), toxic, text of the labelled training rows; a sample by hash of about `most` rows where there are more.
+
+    Labels other than 0 and 1 are none.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
     n = train.count()
     if n > most:
-        share = int(most / n * 1_000_000)
-        train = train.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share)
+        place = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 11) / F.lit(float(1 << 53))
+        train = train.where(place < most / n)
     return docs.select("doc_id", "text").join(train, "doc_id").select("fold", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) for every row, null and empty texts too; an input column score is replaced."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("score")
+    docs, given = set_aside(docs, ("doc_id", "text"), ("score",))
     held = docs.sparkSession.sparkContext.broadcast(model)  # trees and lexicon: under 1 MB
 
     def rate(batches):
@@ -203,4 +206,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t, model.lexicon) for t in batch.column("text").to_pylist()], dtype=float).reshape(batch.num_rows, len(FEATURES))
             yield batch.append_column("score", pa.array(model.score(x), pa.float64()))
 
-    return docs.mapInArrow(rate, docs.limit(0).withColumn("score", F.lit(0.0)).schema)
+    return put_back(docs.mapInArrow(tidy(rate), docs.limit(0).withColumn("score", F.lit(0.0)).schema), given)

@@ -242,6 +242,17 @@ def test_toxicity_separates_and_ignores_held_out_labels(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_other_labels_are_none_and_samples_are_as_large_as_said(spark):
+    d = docs(spark).select("doc_id", "text")
+    odd_labels = spark.createDataFrame([(k, k % 5 - 1) for k in range(200)], "doc_id long, toxic int")
+    held = toxicity._fit_rows(d, odd_labels, 1000).collect()
+    assert {r["toxic"] for r in held} == {0, 1} and len(held) < 80
+    assert toxicity.score(odd(spark), toxicity.fit(d, odd_labels)).count() == len(ODD)
+    many = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    texts = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
+    assert 400 < toxicity._fit_rows(texts, many, 500).count() < 600
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(docs(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(odd(spark), model).collect()} <= {0.5}
@@ -397,6 +408,35 @@ def test_metrics(spark):
     assert quality.measured(odd(spark)).count() == len(ODD)
 
 
+def test_judged_equals_sql_where_cutoffs_exist(spark, tmp_path):
+    """The SQL side by side on labels that are enough for cutoffs in one stratum and too few in another."""
+    import duckdb
+
+    rng = random.Random(17)
+    rows, labels = [], []
+    for k in range(2600):
+        lang, bad = "de" if k % 13 == 0 else "en", k % 6 == 0
+        mark = rng.choice(("***", "!", "#")) if bad else rng.choice(("", "", "", "", "", "", "", "!"))
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) + (mark if rng.random() < 0.5 else "") for _ in range(rng.randint(15, 40))]
+        rows.append((k, " ".join(words), lang))
+        labels.append((k, 0 if bad else 1))
+    spark.createDataFrame(rows, SCHEMA + ", lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op7_quality_rules"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = c.sql(ORACLES["op7_quality_rules"]).df()
+    columns = sorted(got.columns)
+    rows_of = lambda df: sorted(repr([_value(x) for x in r]) for r in df[columns].astype(object).values.tolist())
+    assert columns == sorted(want.columns) and rows_of(got) == rows_of(want)
+    by_cutoff = got[~got["base_failed"] & ~got["kept"]]
+    assert len(by_cutoff) > 50 and set(by_cutoff["doc_id"] % 13 == 0) == {False}
+    extra = spark.createDataFrame([(1, "word " * 30, "en", "a", "b")], SCHEMA + ", lang string, _stratum string, cut_lines string")
+    kept = quality.judged(quality.measured(extra), quality.select_cutoffs(quality.measured(extra), spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert kept.first()["_stratum"] == "a" and kept.first()["cut_lines"] == "b"
+
+
 def test_cutoffs_keep_good_documents(spark):
     rng = random.Random(6)
     rows, labels = [], []
