@@ -12,6 +12,8 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -86,11 +88,15 @@ def tidy(work):
     return run
 
 
+_made: list[str] = []  # tables that are not deleted yet
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -98,9 +104,27 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _made:
+        _made.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables made inside are deleted at the end, but for those put in the list.
+
+    For callers that have written a result: what is lazy still reads them.
+    """
+    before, keep = set(_made), []
+    yield keep
+    stays = {df.scratch_path for df in keep}
+    for path in [p for p in _made if p not in before and p not in stays]:
+        _delete(spark, path)
 
 
 # --------------------------------------------------------------------- Bloom

@@ -832,6 +832,30 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom_hits(bits, keys + 1).mean() < 0.05
 
 
+def test_scratch_tables_go(spark):
+    from corpusloom.llm import scratch
+
+    before = list(scratch._made)
+    with scratch.passing(spark) as keep:
+        a, b = (scratch.materialize(spark.range(3), "t") for _ in "ab")
+        keep.append(a)
+    assert scratch._made == [*before, a.scratch_path] and a.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(b.scratch_path).count()
+    scratch.drop(a)
+    assert scratch._made == before
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom.llm import scratch
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(far)
+
+
 def _value(x):
     x = x.item() if hasattr(x, "item") else x
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
