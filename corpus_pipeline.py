@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, linededup, neardup, packing, quality
-from corpusloom.llm.scratch import materialize
+from corpusloom.llm.scratch import drop, materialize, passing
 
 #: Near-dedup by sketches and best-fit packing are not expressible in SQL.
 ORACLE_SQL = None
@@ -73,10 +73,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
+    """All stages on documents; tables that a stage needed for itself go when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        with passing(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,6 +52,16 @@ def existing_only(rows: DataFrame, nodes: DataFrame, on: str, key: str) -> DataF
     return rows.join(nodes.select(F.col(key).alias(on)), on, "left_semi")
 
 
+CHUNK_POLICY = {"page_id": KEEP, "content": REPLACE, "semantic_type": REPLACE, "heading_context": REPLACE, "chunk_index": REPLACE, "token_count": REPLACE}
+
+
+def create_chunks(existing: DataFrame, incoming: DataFrame, pages: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """All chunks after an upsert of those whose page exists, and the new rows without their vectors."""
+    known = existing_only(incoming, pages, "page_id", "id")
+    policy = CHUNK_POLICY | ({"embedding": REPLACE} if "embedding" in incoming.columns else {})
+    return upsert(existing, known, ["id"], policy, seq), merge(known, ["id"], CHUNK_POLICY, seq)
+
+
 def delete_cascade(keys: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables without the rows whose column is a key, and one row of how many rows each loses."""
     left, counts = {}, None

@@ -16,9 +16,12 @@ from ..operators import html as H
 from ..operators import index as I
 from ..operators import links as L
 from ..operators import runs as R
+from ..operators import search as S
+from ..operators import store as K
+from ..sources import tables as B
 from . import graph_queries as GQ
 from . import page_queries as PQ
-from .search_queries import _HOST, _PATH, read
+from .search_queries import _HOST, _PATH, _TEXT, _WHITE, read
 
 
 # ------------------------------------------------------------------ extraction
@@ -222,12 +225,70 @@ def crawl_best_first(spark, d):
     return got.select("id", F.col("depth").cast("long").alias("depth"), F.round("priority", 6).alias("priority"))
 
 
+def create_chunks(spark, d):
+    """Chunks of documents, of which every fourth names a page that does not exist, and some replace old ones."""
+    docs = read(spark, d, "documents")
+    pages = docs.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"))
+    rows = docs.select(
+        (F.col("doc_id") % 60).alias("id"), F.col("doc_id").alias("page_id"), F.md5("text").alias("content"), F.col("lang").alias("semantic_type"), F.lit("").alias("heading_context"),
+        F.lit(0).alias("chunk_index"), F.length("text").alias("token_count"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.col("doc_id").alias("seq"),
+    )
+    chunks, made = K.create_chunks(rows.where("seq < 30").drop("seq"), rows.where("seq >= 30"), pages)
+    return chunks.join(made.select("id", F.lit(True).alias("made")), "id", "left").select("id", "page_id", "content", "semantic_type", F.coalesce("made", F.lit(False)).alias("made"), F.size("embedding").cast("long").alias("width"))
+
+
+def parameterised_read(spark, d):
+    read(spark, d, "documents").createOrReplaceTempView("parameterised_documents")
+    return B.run_sql(spark, "SELECT doc_id, lang FROM parameterised_documents WHERE source = :source AND doc_id >= :least", source="src1", least=5)
+
+
+def search_limit_clamped(spark, d):
+    """A limit beyond the most that a search gives."""
+    hits = S.fulltext_search(GQ._docs(spark, d), GQ.QUERY, "doc_id", "text", S.clamp_limit(1000))
+    return hits.agg(F.count("*").alias("n"))
+
+
+def page_description(spark, d):
+    pages = read(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</head>"), F.concat(F.lit('<meta name="description" content="  About '), F.col("page_id"), F.lit(' "></head>'))))
+    return H.parse_pages(pages, "description").select("page_id", "description")
+
+
+def _first_source(spark, d) -> tuple[object, str]:
+    from . import api
+
+    corpus = api.ingest(read(spark, d, "pages"))
+    return corpus, corpus.pages.orderBy("page_seq").first()["source_id"]
+
+
+def resource_source_pages(spark, d):
+    """Pages of the first page's source, by the address of the resource."""
+    from . import api
+
+    corpus, source = _first_source(spark, d)
+    return api.read_resource(corpus, f"doc://sources/{source}/pages?limit=3&offset=0").select("url", "title", "word_count")
+
+
+def resource_page_content(spark, d):
+    from . import api
+
+    corpus, _ = _first_source(spark, d)
+    page = corpus.pages.orderBy("page_seq").first()["id"]
+    return api.read_resource(corpus, f"doc://pages/{page}/content").select("url", F.sha2("content", 256).alias("digest"), F.coalesce(F.size("metatags"), F.lit(-1)).cast("long").alias("tags"))
+
+
+def tool_doc_ontology(spark, d):
+    from . import api
+
+    corpus, source = _first_source(spark, d)
+    return api.call_tool(corpus, "doc_ontology", source=source)[0].select("id", "name", "mention_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         extraction_concepts, extraction_relations, extraction_attempts, chunk_classified, mentions_alternate, prompt_boundary, prompt_rendered, link_decisions, link_decisions_detailed,
         link_decision_cache, graph_link_stats, index_page_stats, index_replaced, state_fold, index_run_jobs, index_run_failed, index_run_totals, retry_counts, retry_left, retry_pages,
-        doctor_sources, crawl_best_first,
+        doctor_sources, crawl_best_first, create_chunks, parameterised_read, search_limit_clamped, page_description, resource_source_pages, resource_page_content, tool_doc_ontology,
     )
 }
 
@@ -248,6 +309,13 @@ each_ AS (SELECT doc_id, count(*) FILTER (WHERE length(text) % 5 <> 0) AS ok, co
 _NORMAL = PQ._NORM.format("url")
 _CAME = f"SELECT page_id, {_NORMAL} AS u, url, page_id % 3 = 1 AS lost, page_id % 2 = 0 AS back FROM pages"
 
+_OF_FIRST = f"""
+stored AS (SELECT {PQ._NORM.format("url")} AS u, page_id, html, content FROM contents),
+last_ AS (SELECT u, arg_max(html, page_id) AS html, arg_max(content, page_id) AS content, max(page_id) AS seq FROM stored GROUP BY u),
+named AS (SELECT *, 'source_' || substr(sha256({_HOST.format("u")}), 1, 12) AS source_id FROM last_),
+own AS (SELECT * FROM named WHERE source_id = (SELECT source_id FROM named ORDER BY seq LIMIT 1))"""
+_TITLE = PQ._plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+_WORD_TEXT = rf"trim(regexp_replace(content, '{_WHITE}', ' ', 'g'), ' ')"
 ORACLES = {
     "extraction_concepts": f"WITH {_SAID} SELECT {_ID.format('any_value(name)')} AS id, source_id, arg_min(name, doc_id * 10 + k) AS name, 'concept' AS category, 0.5::DOUBLE AS confidence, count(*) AS mention_count FROM said GROUP BY source_id, lower(name)".replace("source_id || '|'", "any_value(source_id) || '|'"),
     "extraction_relations": f"WITH {_ASKED} SELECT DISTINCT {_ID.format('w[1]')} AS from_id, {_ID.format('w[2]')} AS to_id, 'uses' AS type, 0.8::DOUBLE AS weight FROM asked WHERE mood <> 3 AND len(w) = 2",
@@ -272,5 +340,13 @@ SELECT user_id AS id, 'n' || user_id AS name, arg_max(CASE event_type WHEN 'clic
     "retry_counts": f"WITH f AS (SELECT {_SOURCE} AS source_id, url, bool_or(page_id % 2 = 0) AS back FROM pages WHERE page_id % 3 = 1 GROUP BY ALL) SELECT source_id, count(*) AS retried, count(*) FILTER (WHERE back) AS success, count(*) FILTER (WHERE NOT back) AS failed FROM f GROUP BY source_id",
     "retry_left": f"SELECT {_SOURCE} AS source_id, url, 'HTTP 404' AS error FROM pages WHERE page_id % 3 = 1 AND page_id % 2 = 1",
     "retry_pages": f"SELECT DISTINCT u AS url, 0::BIGINT AS depth FROM ({_CAME}) WHERE NOT lost OR back",
+    "create_chunks": """WITH k AS (SELECT doc_id % 60 AS id, doc_id, text, lang FROM documents WHERE doc_id < 30 OR doc_id % 4 <> 1)
+SELECT id, arg_min(doc_id, doc_id) AS page_id, md5(arg_max(text, doc_id)) AS content, arg_max(lang, doc_id) AS semantic_type, max(doc_id) >= 30 AS made, 1::BIGINT AS width FROM k GROUP BY id""",
+    "parameterised_read": "SELECT doc_id, lang FROM documents WHERE source = 'src1' AND doc_id >= 5",
+    "search_limit_clamped": f"WITH {_TEXT} SELECT least(50, count(*))::BIGINT AS n FROM bm",
+    "page_description": "SELECT page_id, 'About ' || page_id AS description FROM pages",
+    "resource_source_pages": f"WITH {PQ.CONTENT}, {_OF_FIRST} SELECT u AS url, {_TITLE} AS title, CASE WHEN {_WORD_TEXT} = '' THEN 0 ELSE len(string_split({_WORD_TEXT}, ' ')) END::BIGINT AS word_count FROM own ORDER BY u LIMIT 3",
+    "resource_page_content": f"WITH {PQ.CONTENT}, {_OF_FIRST} SELECT u AS url, sha256(content) AS digest, -1::BIGINT AS tags FROM own WHERE seq = (SELECT min(seq) FROM last_)",
+    "tool_doc_ontology": f"WITH {PQ.CONTENT}, {_OF_FIRST}, terms AS (SELECT term AS name, count(*) AS mention_count FROM (SELECT DISTINCT u, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM own) WHERE length(term) >= 4 GROUP BY 1), top AS (SELECT * FROM terms ORDER BY mention_count DESC, name LIMIT 50) SELECT 'concept_' || substr(sha256((SELECT any_value(source_id) FROM own) || '|' || name), 1, 12) AS id, name, mention_count FROM top",
     "doctor_sources": f"SELECT {_HOST.format('u')} AS name, 'completed' AS status, count(DISTINCT u) AS pages FROM ({_CAME}) GROUP BY 1",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,19 @@ def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return (spark.read.schema(schema(name)) if name in SCHEMAS else spark.read).parquet(path)
 
 
+def run_sql(spark: SparkSession, statement: str, **arguments: object) -> DataFrame:
+    """A statement with named parameters (:name), which are never pasted into its text."""
+    return spark.sql(statement, args=arguments)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "append") -> dict[str, int]:
+    """Write df as Parquet; rows and null ids written, counted on the way."""
+    seen = Observation()
+    missing = F.count_if(F.col("id").isNull()) if "id" in df.columns else F.lit(0).cast("long")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), (missing if "id" in df.columns else F.max(missing)).alias("null_ids")).write.mode(mode).parquet(path)
+    return {"rows": seen.get["rows"], "null_ids": seen.get["null_ids"] or 0}
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
