@@ -259,8 +259,10 @@ def crawl_best_first(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max
         # An id may wait several times: it leaves with its least depth.
         now = queue.where(F.col("priority") == best).groupBy("id").agg(F.min("depth").alias("depth"))
         now = cut_lineage(now.orderBy("depth", "id").limit(max_pages - taken).select("id", "depth", F.lit(best).alias("priority"), F.lit(turn).alias("visit")))
-        seen = now if seen is None else cut_lineage(seen.unionByName(now))
-        taken, turn = seen.count(), turn + 1
+        seen = now if seen is None else seen.unionByName(now)
+        taken, turn = taken + now.count(), turn + 1
+        if turn % 10 == 0:  # a union of ten tables at most
+            seen = cut_lineage(seen)
         open_ = now.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), (F.col("depth") + 1).alias("depth"))
         fresh = open_.join(edges, "src").groupBy(F.col("dst").alias("id"), "depth").agg(F.max(F.col("priority").cast("double")).alias("priority"))
         queue = cut_lineage(queue.unionByName(fresh).join(seen.select("id"), "id", "left_anti"))
