@@ -115,7 +115,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def _count_of(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term))
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def fulltext_scores(docs: DataFrame, query: str, text: str) -> DataFrame:
