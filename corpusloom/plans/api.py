@@ -23,7 +23,7 @@ from ..operators import search as S
 from ..operators import store as K
 from ..operators.embed import Provider, hashing_provider
 from .page_queries import CONTENT, _plain, chunk_sql
-from .search_queries import _HOST, _NORM, _WHITE
+from .search_queries import _HOST, _NORM, _TEXT, _WHITE, QUERY, _kinds
 
 
 @dataclass(frozen=True)
@@ -299,11 +299,16 @@ def ingest_source_stats(spark, d):
 
 
 def tool_doc_search(spark, d):
-    return doc_search(_corpus(spark, d), "for avec und para").select("chunk_id", "score", "page_url", "semantic_type")
+    return doc_search(_corpus(spark, d), QUERY).select("chunk_id", "score", "page_url", "semantic_type")
+
+
+def tool_doc_search_fulltext(spark, d):
+    hits = doc_search(_corpus(spark, d), QUERY, mode="fulltext")
+    return hits.select("chunk_id", F.round("score", 6).alias("score"), "page_url", "semantic_type")
 
 
 def tool_doc_context_concepts(spark, d):
-    return doc_context(_corpus(spark, d), "for avec und para")[1].select("id", "source_id", "name", "mention_count")
+    return doc_context(_corpus(spark, d), QUERY)[1].select("id", "source_id", "name", "mention_count")
 
 
 def resource_all_pages(spark, d):
@@ -328,7 +333,7 @@ def tool_list(spark, d):
     return list_tools(spark).groupBy("tool").agg(F.count_if("required").alias("required"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_source_stats, tool_doc_search, tool_doc_context_concepts, resource_all_pages, refresh_unchanged, refresh_changed, tool_list)}
+QUERIES = {f.__name__: f for f in (ingest_source_stats, tool_doc_search, tool_doc_search_fulltext, tool_doc_context_concepts, resource_all_pages, refresh_unchanged, refresh_changed, tool_list)}
 
 # --------------------------------------------------------------------- DuckDB
 _PAGES = f"""{CONTENT},
@@ -339,6 +344,7 @@ _TITLE = _plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 ORACLES = {
     "ingest_source_stats": f"WITH RECURSIVE {_PAGES}, src AS (SELECT u AS doc_id, content AS text FROM last_), {chunk_sql('src')}, per AS (SELECT {_HOST.format('doc_id')} AS name, count(*) AS chunks, sum(length(text) // 4)::BIGINT AS total_tokens FROM text_ GROUP BY 1) SELECT name, total_pages, pages, coalesce(chunks, 0)::BIGINT AS chunks, coalesce(total_tokens, 0)::BIGINT AS total_tokens FROM (SELECT {_HOST.format('u')} AS name, count(*) AS total_pages, count(DISTINCT u) AS pages FROM stored GROUP BY 1) LEFT JOIN per USING (name)",
     "resource_all_pages": f"WITH {_PAGES} SELECT u AS url, {_TITLE} AS title, regexp_extract((SELECT html FROM stored s WHERE s.page_id = first_ AND s.u = last_.u), '<html lang=\"(..)', 1) AS language, CASE WHEN {_WORDS} = '' THEN 0 ELSE len(string_split({_WORDS}, ' ')) END::BIGINT AS word_count, sha256(content) AS content_hash FROM last_",
+    "tool_doc_search_fulltext": f"WITH RECURSIVE {_PAGES}, src AS (SELECT u AS doc_id, content AS text FROM last_), {chunk_sql('src')}, documents AS (SELECT 'chunk_' || substr(sha256('page_' || substr(sha256(doc_id), 1, 12) || '|' || chunk_index), 1, 12) AS doc_id, 's' AS source, doc_id AS page_url, {_kinds()} AS semantic_type, text FROM text_), {_TEXT} SELECT bm.doc_id AS chunk_id, round(score, 6) AS score, page_url, semantic_type FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) bm JOIN documents USING (doc_id)",
     "refresh_unchanged": "SELECT 0::BIGINT AS changed",
     "refresh_changed": f"WITH {_PAGES} SELECT page_id FROM stored JOIN last_ USING (u) WHERE page_id % 5 = 0 OR sha256(stored.content) <> sha256(last_.content)",
     "tool_list": "SELECT * FROM (VALUES ('doc_ingest', 0::BIGINT), ('doc_search', 1), ('doc_context', 1), ('doc_sources', 0), ('doc_refresh', 1), ('doc_ontology', 1)) t(tool, required)",
