@@ -405,7 +405,9 @@ def test_metrics(spark):
     df = spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(texts)], SCHEMA + ", lang string, n_words string")
     for r in quality.measured(df).collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_metrics(texts[r["doc_id"]])
-    assert quality.measured(odd(spark)).count() == len(ODD)
+    strange = quality.measured(odd(spark).withColumn("lang", F.lit("en")))
+    cutoffs = quality.select_cutoffs(strange, spark.createDataFrame([(7, 1), (None, 1), (4, None)], "doc_id long, quality int"))
+    assert quality.judged(strange, cutoffs).count() == len(ODD) and quality.judged(strange.limit(0), cutoffs).count() == 0
 
 
 def test_judged_equals_sql_where_cutoffs_exist(spark, tmp_path):
