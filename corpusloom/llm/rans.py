@@ -19,7 +19,6 @@ document longer than a block is one block.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir, small_batches, tidy
+from .scratch import new_path, small_batches, tidy
 from .tokens import END_ID, encoder
 
 SCALE_BITS = 20
@@ -261,6 +260,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens, ids_crc32."""
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    path = path or new_path(spark, "tokens")
     write_token_files(docs, path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

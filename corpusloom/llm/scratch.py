@@ -91,12 +91,18 @@ def tidy(work):
 _made: list[str] = []  # tables that are not deleted yet
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for a table that passing() may delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
