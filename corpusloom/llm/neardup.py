@@ -31,8 +31,8 @@ from .scratch import bloom, bloom_hits, drop, materialize, put_back, set_aside,
 
 SIMILARITY = 75  # per cent
 WIDTH = 5
-BLOCK = 512  # classes of one bucket compared in one place
-PARTNERS = 512  # pairs confirmed against one copy of a set
+BLOCK = 256  # classes of one bucket compared in one place
+PARTNERS = 64  # pairs confirmed against one copy of a set
 NEAREST = (4, 1 << 40)
 
 _SIGS = pa.schema(

@@ -537,10 +537,10 @@ def brute_components(rows):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [512, 5])
+@pytest.mark.parametrize("block", [256, 5])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "PARTNERS", block)
+    monkeypatch.setattr(neardup, "PARTNERS", min(block, 64))
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
     rows = []
