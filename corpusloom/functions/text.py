@@ -174,10 +174,15 @@ def link_prompt(url: Column, anchor: Column) -> Column:
     return F.concat(F.lit("- "), url, F.lit(" ("), F.substring(F.coalesce(anchor, F.lit("")), 1, 50), F.lit(")"))
 
 
+# What follows a text that is cut, and the heading of a prompt's arguments.
+CUT_MARK = "\n... [truncated for analysis]"
+CONTEXT_HEADING = "\n## Context"
+
+
 def boundary_prompt(text: Column, target_tokens: int = 800, overlap_tokens: int = 100, most: int = 12000) -> Column:
     """Request for chunk boundaries; a text that is cut says so."""
     head = f"Mark where to cut this text into parts of about {target_tokens} tokens ({target_tokens * 4} characters) that overlap by {overlap_tokens} tokens.\n\n"
-    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... [truncated for analysis]"))).otherwise(text)
+    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(CUT_MARK))).otherwise(text)
     return F.concat(F.lit(head), cut)
 
 
@@ -185,4 +190,4 @@ def render_prompt(content: str, arguments: dict[str, object] | None = None) -> s
     """A prompt with its arguments as lines of a context section."""
     if not arguments:
         return content
-    return content + "\n".join(["\n## Context", *(f"- {k}: {v}" for k, v in arguments.items())])
+    return content + "\n".join([CONTEXT_HEADING, *(f"- {k}: {v}" for k, v in arguments.items())])

@@ -29,6 +29,9 @@ MIN_CONTENT = 100  # shorter pages are not sent
 ATTEMPTS = 3
 JSON_ONLY = "\n\nReply with one JSON object and nothing else."
 EXTRACTED = "extracted"
+# How errors of an attempt begin, and what a chunk is when no classifier tells.
+FAILED, NO_JSON = "Extraction error (attempt {})", "JSON parse error (attempt {})"
+DEFAULT_CLASS = {"semantic_type": "general", "confidence": 0.5, "complexity": "intermediate"}
 
 
 def term_extractor(most: int = 10, length: int = 4) -> Extractor:
@@ -89,7 +92,7 @@ def extract(pages: DataFrame, extractor: Extractor, attempts: int = ATTEMPTS, ba
         out = out.withColumn("_got", _asked(extractor, k, backoff, batch)(ask))
         wanted = F.col("_json").isNull() & (F.coalesce(F.length("content"), F.lit(0)) >= MIN_CONTENT)
         repaired = T.repair_json(F.col("_got.reply"))
-        message = F.when(F.col("_got.error").isNotNull(), F.concat(F.lit(f"Extraction error (attempt {k + 1}): "), F.col("_got.error"))).otherwise(F.lit(f"JSON parse error (attempt {k + 1})"))
+        message = F.when(F.col("_got.error").isNotNull(), F.concat(F.lit(f"{FAILED.format(k + 1)}: "), F.col("_got.error"))).otherwise(F.lit(NO_JSON.format(k + 1)))
         failed = wanted & (F.col("_got.error").isNotNull() | repaired.isNull())
         out = out.withColumns(
             {
@@ -120,9 +123,6 @@ def concepts_and_relations(extracted: DataFrame, seq: str) -> tuple[DataFrame, D
     return concepts, G.merge_relations(edges, "seq")
 
 
-DEFAULT_CLASS = {"semantic_type": "general", "confidence": 0.5, "complexity": "intermediate"}
-
-
 def classify(chunks: DataFrame, text: str, classifier: Classifier, most: int = 2000) -> DataFrame:
     """chunks with classified (semantic_type, confidence, complexity); what the classifier refuses gets DEFAULT_CLASS."""
 
