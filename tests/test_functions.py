@@ -374,3 +374,9 @@ def test_link_context_is_linear():
         assert len(H.describe(page, ("links",))["links"]) == n
         took.append(time.time() - began)
     assert took[1] < 20 * took[0] + 0.5
+
+
+def test_named_references_end_in_a_semicolon():
+    page = H.describe('<title>&lt;&amp</title><p>&copy2 &nope; &ampx; &#38 &hellip;﷐ &</p><a href="/q?a=1&copy=2&amp;b=3">x</a>')
+    assert (page["title"], page["all_text"]) == ("<&amp", "<&amp &copy2 &nope; &ampx; & …﷐ & x")
+    assert page["links"][0]["href"] == "/q?a=1&copy=2&b=3"

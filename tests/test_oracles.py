@@ -8,6 +8,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.plans.catalog import ORACLES, QUERIES
 
@@ -46,3 +47,20 @@ def test_oracle(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages whose title and first heading end inside a reference, as texts of a fixed length do."""
+    folder = str(tmp_path_factory.mktemp("cut_pages"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages.withColumn("html", F.regexp_replace("html", "</(title|h1)>", "&amp;&amp</$1>")).write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["page_content_aggressive"])
+def test_cut_reference(spark, cut_pages, name):
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{cut_pages}/pages.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, cut_pages).toPandas(), c.sql(ORACLES[name]).df()
+    assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
