@@ -58,7 +58,7 @@ def cut_pages(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["page_content_aggressive", "page_content_all_text", "page_content_manual", "page_headings", "page_title_lang", "resource_all_pages"])
+@pytest.mark.parametrize("name", ["page_content_aggressive", "page_content_all_text", "page_content_manual", "page_headings", "page_title_lang", "resource_all_pages", "ingest_source_stats"])
 def test_cut_reference(spark, cut_pages, name):
     c = duckdb.connect()
     c.sql(f"create view pages as select * from '{cut_pages}/pages.parquet/*.parquet'")
