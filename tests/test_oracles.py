@@ -77,7 +77,7 @@ def shared_urls(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["retry_counts"])
+@pytest.mark.parametrize("name", ["retry_counts", "retry_left"])
 def test_shared_urls(spark, shared_urls, name):
     c = duckdb.connect()
     c.sql(f"create view pages as select * from '{shared_urls}/pages.parquet/*.parquet'")
