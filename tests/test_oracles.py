@@ -83,3 +83,21 @@ def test_shared_urls(spark, shared_urls, name):
     c.sql(f"create view pages as select * from '{shared_urls}/pages.parquet/*.parquet'")
     got, want = QUERIES[name](spark, shared_urls).toPandas(), c.sql(ORACLES[name]).df()
     assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+@pytest.fixture(scope="module")
+def textless(spark, tmp_path_factory):
+    """Documents some of which have no text: null, empty, blank, of the indexed source and of others, blanked by the query and not."""
+    folder = str(tmp_path_factory.mktemp("textless"))
+    none = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit(" \n"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.withColumn("text", F.when(F.col("doc_id") % 4 == 1, none).otherwise(F.col("text"))).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["index_page_stats"])
+def test_textless(spark, textless, name):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{textless}/documents.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, textless).toPandas(), c.sql(ORACLES[name]).df()
+    assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
