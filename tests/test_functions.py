@@ -380,3 +380,9 @@ def test_named_references_end_in_a_semicolon():
     page = H.describe('<title>&lt;&amp</title><p>&copy2 &nope; &ampx; &#38 &hellip;﷐ &</p><a href="/q?a=1&copy=2&amp;b=3">x</a>')
     assert (page["title"], page["all_text"]) == ("<&amp", "<&amp &copy2 &nope; &ampx; & …﷐ & x")
     assert page["links"][0]["href"] == "/q?a=1&copy=2&b=3"
+
+
+def test_numeric_references_that_are_cut():
+    page = H.describe("<title>it&#x27;s&#x2</title><h1>a&#x27</h1><p>&#39;b&#38 c&#3<b>&#x</b>&#</p>d&#X27")
+    assert (page["title"], page["headings"][0]["text"]) == ("it's&#x2", "a&#x27")
+    assert page["all_text"] == "it's&#x2 a&#x27 'b& c&#3 &#x &# d&#X27"

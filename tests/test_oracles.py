@@ -101,3 +101,21 @@ def test_textless(spark, textless, name):
     c.sql(f"create view documents as select * from '{textless}/documents.parquet/*.parquet'")
     got, want = QUERIES[name](spark, textless).toPandas(), c.sql(ORACLES[name]).df()
     assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+@pytest.fixture(scope="module")
+def cut_numbers(spark, tmp_path_factory):
+    """Pages whose title and first heading end inside a numeric reference."""
+    folder = str(tmp_path_factory.mktemp("cut_numbers"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    cuts = F.element_at(F.array(*map(F.lit, ("&#x27", "&#x2", "&#39", "&#x27;&#x", "&#3"))), (F.col("page_id") % 5 + 1).cast("int"))
+    pages.withColumn("html", F.regexp_replace("html", F.lit("</(title|h1)>"), F.concat(cuts, F.lit("</$1>")))).write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["page_content_all_text"])
+def test_cut_number(spark, cut_numbers, name):
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{cut_numbers}/pages.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, cut_numbers).toPandas(), c.sql(ORACLES[name]).df()
+    assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
