@@ -113,7 +113,7 @@ def cut_numbers(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["page_content_all_text", "page_title_lang", "page_headings"])
+@pytest.mark.parametrize("name", ["page_content_all_text", "page_title_lang", "page_headings", "page_content_manual"])
 def test_cut_number(spark, cut_numbers, name):
     c = duckdb.connect()
     c.sql(f"create view pages as select * from '{cut_numbers}/pages.parquet/*.parquet'")
