@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEEP, REPLACE, MAX, LONGEST, COUNT = "keep", "replace", "max", "longest", "count"
+KEEP, FIRST, REPLACE, MAX, LONGEST, COUNT = "keep", "first", "replace", "max", "longest", "count"
 
 
 def _policy(column: str, policy: str, seq: str) -> Column:
     c = F.col(column)
     if policy == KEEP:
         return F.min_by(c, F.when(c.isNotNull(), F.col(seq)))
+    if policy == FIRST:  # a null too
+        return F.min_by(c, F.col(seq))
     if policy == REPLACE:
         return F.max_by(c, F.when(c.isNotNull(), F.col(seq)))
     if policy == MAX:
